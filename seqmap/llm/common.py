@@ -86,10 +86,10 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SALTS = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE, first_bytes: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` of each row, A-Z lower-cased, and offsets of the rows in them.
 
-    Each (byte, place in the word) pair has a random value; a word's hash is their mixed sum.
+    Each (byte, place in the word) pair has a random value; a word's hash is their mixed sum. first_bytes: only so many bytes of a word count.
     """
     lo, hi = int(offsets[0]), int(offsets[-1])
     raw = data[lo:hi]
@@ -109,6 +109,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS
     lens = np.diff(np.append(begin, len(at)))
     place = np.arange(len(at), dtype=np.int64) - np.repeat(begin, lens)
     each = mix((place.astype(np.uint64) << np.uint64(8)) + _LOWER[raw[at]] + np.uint64(0x9E3779B97F4A7C15))
+    if first_bytes:
+        each[place >= first_bytes] = 0
     return mix(np.add.reduceat(each, begin)), np.searchsorted(starts, offsets - lo)
 
 
