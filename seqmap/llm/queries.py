@@ -17,6 +17,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqmap.llm.pii import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqmap.llm.common import plain
+    from seqmap.llm.secrets import digest, find
+
+    return digest(find(plain(table(spark, sf_dir, "documents"), "doc_id", "text")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqmap.llm.quality import classify
 
@@ -45,5 +58,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op6_quality, op7_chat, op8_bpe, op9_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_pii, op4_secrets, op6_quality, op7_chat, op8_bpe, op9_media)}
 ORACLES: dict[str, str] = {}
