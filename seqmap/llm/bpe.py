@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from seqmap.llm.common import plain, text_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long"
-#: Entries that the tables of transitions, pairs and pieces hold before they are begun anew.
-TABLE_LIMIT = 1 << 19
+#: Entries that the tables of transitions and pairs, and of pieces, hold before they are begun anew.
+TABLE_LIMIT, PIECES = 1 << 19, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,85 +46,141 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class Transducer:
+    """States and transitions over the bytes of a piece; output is the little-endian ids of the emitted tokens."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
+        self.code = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.edges: tuple[dict[bytes, list[tuple[bytes, int]]], ...] = ({}, {})
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        if len(self.pairs) > TABLE_LIMIT:
+            self.pairs.clear()
         self.ids: dict[tuple[bytes, bytes], int] = {}
-        self.states: list[tuple[bytes, bytes, tuple[bytes | None, ...]]] = []
-        self.next: dict[tuple[int, int], tuple[int, tuple[bytes, ...]]] = {}
-        self.start = self.state(b"", b"", ())
+        self.states: list[tuple] = []
+        self.ends: list[bytes | None] = []
+        self.next: dict[int, tuple[int, bytes]] = {}
+        self.start = self.state(b"", b"", (), ())
 
-    def state(self, last: bytes, held: bytes, tails: tuple[bytes | None, ...]) -> int:
+    def state(self, last: bytes, held: bytes, tails: tuple, live: tuple[int, ...]) -> int:
         key = (last, held)
-        if key not in self.ids:
-            self.ids[key] = len(self.states)
-            self.states.append((last, held, tails))
-        return self.ids[key]
+        found = self.ids.get(key)
+        if found is None:
+            found = self.ids[key] = len(self.states)
+            self.states.append((last, held, tails, live))
+            self.ends.append(None)
+        return found
+
+    def edge(self, token: bytes, right: bool) -> list[tuple[bytes, int]]:
+        """The tokens that stand at an edge of a token while it is merged, each with the rank that ends it."""
+        table = self.edges[right]
+        if token not in table:
+            if token not in self.halves:
+                self.halves[token] = self.half(token)
+            h = self.halves[token]
+            under = [] if h is None else self.edge(h[right], right)
+            table[token] = [(t, self.ranks[token] if e is None else e) for t, e in under] + [(token, None)]
+        return table[token]
+
+    def half(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The last pair that merges into a token."""
+        if len(token) == 1:
+            return None
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            k = min(range(len(parts) - 1), key=lambda i: (self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i))
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts[0], parts[1]
 
     def fits(self, a: bytes, b: bytes) -> bool:
-        """Whether b can stand after a; at a piece's start a is empty and b must be its own encoding."""
-        if (a, b) not in self.pairs:
-            self.pairs[a, b] = merge(a + b, self.ranks) == ([a, b] if a else [b])
-        return self.pairs[a, b]
+        """Whether b can stand after a: no merge over their border comes before the merges on both its sides.
 
-    def step(self, s: int, byte: int) -> tuple[int, tuple[bytes, ...]]:
-        """Builds the transition: tails[i] is the token that ends the encoding of the first i + 1 held bytes.
-
-        It is None where no later token can begin, as the encoding of that prefix may run over what was emitted.
+        A merge on the left at the same rank comes first, one on the right later.
+        """
+        if not a:
+            return True
+        key = (a, b)
+        found = self.pairs.get(key)
+        if found is None:
+            rank, right = self.ranks.get, self.edge(b, False)
+            found = True
+            for x, x_end in self.edge(a, True):
+                for y, y_end in right:
+                    q = rank(x + y)
+                    if q is not None and (x_end is None or q < x_end) and (y_end is None or q <= y_end):
+                        found = False
+                        break
+                if not found:
+                    break
+            self.pairs[key] = found
+        return found
+
+    def step(self, s: int, byte: int) -> tuple[int, bytes]:
+        """Builds a transition.
+
+        tails[i] is the token that ends the encoding of the first i + 1 held bytes; live are the places where a token
+        may have begun that is not complete. What all live places and the end have in common is emitted.
         """
-        last, held, tails = self.states[s]
-        held += bytes([byte])
+        last, held, tails, live = self.states[s]
         n = len(held)
-        tail = None
-        for j in range(max(0, n - self.longest), n):
-            before = tails[j - 1] if j else last
-            if before is not None and held[j:] in self.ranks and self.fits(before, held[j:]):
-                tail = held[j:]
-                break
+        held += bytes((byte,))
+        tail, begun = None, []
+        for j in (*live, n):
+            seg = held[j:]
+            if tail is None and seg in self.ranks and self.fits(tails[j - 1] if j else last, seg):
+                tail = seg
+            if seg in self.prefixes:
+                begun.append(j)
         tails += (tail,)
-
-        def chain(end: int) -> list[int]:
+        if begun and begun[0] == 0:
+            return self.state(last, held, tails, tuple(begun)), b""
+        ways = []
+        for end in (n + 1, *begun):
             cuts = []
             while end > 0:
                 cuts.append(end)
                 end -= len(tails[end - 1])
-            return cuts[::-1]
-
-        # later tokens begin at n, or where what follows may still grow into a token
-        at = [j for j in range(max(1, n - self.longest + 1), n) if tails[j - 1] is not None and held[j:] in self.prefixes]
-        live = [chain(n), *map(chain, at)]
-        if held in self.prefixes:
-            live.append([])
-        done = 0
-        while all(len(c) > done and c[done] == live[0][done] for c in live):
+            ways.append(cuts[::-1])
+        one, done = ways[0], 0
+        while all(len(w) > done and w[done] == one[done] for w in ways):
             done += 1
-        keep = {e for c in live for e in c}
-        cut = live[0][done - 1] if done else 0
-        out = tuple(tails[e - 1] for e in live[0][:done])
-        tails = tuple(t if cut + i + 1 in keep else None for i, t in enumerate(tails[cut:]))
-        return self.state(out[-1] if out else last, held[cut:], tails), out
-
-    def encode(self, piece: bytes) -> list[bytes]:
-        s, out, table = self.start, [], self.next
+        if not done:
+            return self.state(last, held, tails, tuple(begun)), b""
+        cut = one[done - 1]
+        keep = {e for w in ways for e in w}
+        rest = tuple(t if cut + i + 1 in keep else None for i, t in enumerate(tails[cut:]))
+        out = b"".join(self.code[tails[e - 1]] for e in one[:done])
+        return self.state(tails[cut - 1], held[cut:], rest, tuple(j - cut for j in begun)), out
+
+    def end(self, s: int) -> bytes:
+        """What a state still holds when the piece ends."""
+        _, held, tails, _ = self.states[s]
+        end, out = len(held), []
+        while end > 0:
+            out.append(self.code[tails[end - 1]])
+            end -= len(tails[end - 1])
+        found = self.ends[s] = b"".join(out[::-1])
+        return found
+
+    def encode(self, piece: bytes) -> bytes:
+        s, out, table = self.start, b"", self.next
         for byte in piece:
-            found = table.get((s, byte))
+            key = s << 8 | byte
+            found = table.get(key)
             if found is None:
-                found = table[s, byte] = self.step(s, byte)
+                found = table[key] = self.step(s, byte)
             s = found[0]
-            out += found[1]
-        last, held, tails = self.states[s]
-        end, rest = len(held), []
-        while end > 0:
-            rest.append(tails[end - 1])
-            end -= len(rest[-1])
-        if len(self.next) > TABLE_LIMIT:
+            if found[1]:
+                out += found[1]
+        rest = self.ends[s]
+        out += self.end(s) if rest is None else rest
+        if len(table) > TABLE_LIMIT:
             self.clear()
-        return out + rest[::-1]
+        return out
 
 
 class Pieces(dict):
@@ -136,9 +192,8 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
-        found = [raw] if raw in self.ranks else self.fst.encode(raw)
-        out = b"".join(self.ranks[t].to_bytes(4, "little") for t in found)
-        if len(self) >= TABLE_LIMIT:
+        out = self.fst.code.get(raw) or self.fst.encode(raw)
+        if len(self) >= PIECES:
             self.clear()
         if len(raw) <= 256:
             self[piece] = out
@@ -201,8 +256,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: bool = False)
     """documents(doc_id, text) -> digests of the ids and of what they decode to; with keep, also `ids` and `decoded`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
         import regex
 
+        gc.set_threshold(500_000, 50, 100)  # the tables are large and have no cycles
         pieces = pieces_of(path)
         find, decode = regex.compile(pattern).findall, Decoder(pieces.ranks)
         get = pieces.__getitem__
