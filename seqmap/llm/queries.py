@@ -58,5 +58,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_pii, op4_secrets, op6_quality, op7_chat, op8_bpe, op9_media)}
+def op10_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqmap.llm.spots import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_pii, op4_secrets, op6_quality, op7_chat, op8_bpe, op9_media, op10_spots)}
 ORACLES: dict[str, str] = {}
