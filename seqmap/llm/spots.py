@@ -64,7 +64,8 @@ def signatures(text: Column) -> Column:
     """The sorted distinct signatures of a text."""
     low = F.lower(text)
     chains = F.transform(F.regexp_extract_all(low, F.lit(SPOT), F.lit(1)), lambda x: F.hash(F.regexp_replace(x, SKIPPED, "")))
-    words = F.filter(F.transform(F.split(low, r"\s+"), lambda x: F.hash(F.lit("w"), x)), lambda h: (F.pmod(h, F.lit(ANCHOR_CLASSES)) == 0) | (F.length(text) <= SHORT))
+    words = F.transform(F.split(low, r"\s+"), lambda x: F.hash(F.lit("w"), x))
+    words = F.when(F.length(low) <= SHORT, words).otherwise(F.filter(words, lambda h: F.pmod(h, F.lit(ANCHOR_CLASSES)) == 0))
     return F.when(F.trim(low) == "", F.array().cast("array<int>")).otherwise(F.sort_array(F.array_distinct(F.concat(chains, words))))
 
 
