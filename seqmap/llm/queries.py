@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from seqmap.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqmap.llm.simjoin import near_components
+
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tok
 
@@ -64,5 +70,5 @@ def op10_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_pii, op4_secrets, op6_quality, op7_chat, op8_bpe, op9_media, op10_spots)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_pii, op4_secrets, op6_quality, op7_chat, op8_bpe, op9_media, op10_spots)}
 ORACLES: dict[str, str] = {}
