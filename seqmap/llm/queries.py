@@ -36,6 +36,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(plain(table(spark, sf_dir, "documents"), "doc_id", "text")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqmap.llm.dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqmap.llm.quality import classify
 
@@ -70,5 +76,5 @@ def op10_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_pii, op4_secrets, op6_quality, op7_chat, op8_bpe, op9_media, op10_spots)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_pii, op4_secrets, op5_suffix_dedup, op6_quality, op7_chat, op8_bpe, op9_media, op10_spots)}
 ORACLES: dict[str, str] = {}
