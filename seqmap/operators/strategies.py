@@ -53,6 +53,7 @@ class Probe:
     reads: DataFrame
     contigs: DataFrame
     params: MapParams = field(default_factory=MapParams)
+    longest: int | None = None
 
 
 STRATEGIES: dict[str, Strategy] = {}
@@ -114,7 +115,7 @@ def compared(candidates: DataFrame, p: Probe) -> DataFrame:
 
 def reach(p: Probe) -> int:
     """A bound of read lengths for cutting the genome; longer reads would be cut, so it is read from the reads."""
-    return int(p.reads.agg(F.coalesce(F.max("len"), F.lit(0))).first()[0])
+    return p.longest if p.longest is not None else int(p.reads.agg(F.coalesce(F.max("len"), F.lit(0))).first()[0])
 
 
 def diag_votes(p: Probe, limit: int | None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqmap.operators.cigar import from_moves, parse, reduce_ops, render
+from seqmap.session import cut
 
 MISMATCH, OPEN, EXTEND, OPEN_LONG, EXTEND_LONG = 6, 4, 2, 12, 1
 BLOCK = 1 << 14
@@ -138,15 +139,15 @@ def accepted(candidates: DataFrame, aligner: bool = True) -> DataFrame:
     """Classified candidates (seq, ref, err, len, cpos, read_num, mate) -> accepted ones with status, score and cigar.
 
     Gapped alignment is run on rows of the first cycle that Hamming does not decide, and on later cycles' rows only
-    for reads of which nothing was accepted before.
+    for reads of which nothing was accepted before. Candidates are compared once and written, then read for each cycle.
     """
-    c = candidates.withColumn("status", accept_class(F.col("err"), F.col("len")))
+    c = cut(candidates.withColumn("status", accept_class(F.col("err"), F.col("len"))).where("status <> 'g'"))
     plain = c.where("status = 'A'").withColumns({"score": hamming_score(F.col("err"), F.col("len")), "cigar": F.concat(F.col("len").cast("string"), F.lit("M")), "left": F.col("cpos")})
     cols = [*c.columns, "score", "cigar", "left"]
     out = plain.select(*cols)
     if not aligner:
         return out
-    out = out.unionByName(gapped(c.where("status = 'G'")).select(*cols))
+    out = cut(out.unionByName(gapped(c.where("status = 'G'")).select(*cols)))
     for cycle in ("2", "3"):
         rest = c.where(F.col("status") == cycle).join(out.select("read_num", "mate").distinct(), ["read_num", "mate"], "left_anti")
         late = gapped(rest).where(F.col("len") - F.floor(F.col("score") * F.col("len") / 100) <= F.shiftright("len", 1))
