@@ -142,8 +142,10 @@ def parse(data: bytes) -> Stream:
     while at + 4 <= end:
         h = header(data[at : at + 4])
         ok = h is not None and at + h[0] <= end
-        if ok and not synced:  # a lone header may be junk: another must follow, or the end
-            ok = at + h[0] == end or header(data[at + h[0] : at + h[0] + 4]) is not None
+        if ok and at + h[0] != end and header(data[at + h[0] : at + h[0] + 4]) is None:
+            # a header that no other follows may be junk; within a stream its rate and checksum decide
+            body = at + 4 + 2 * h[2] + h[3]
+            ok = synced and h[1] == out.rate and (not h[2] or crc16(data[at + 2 : at + 4] + data[at + 6 : body]) == struct.unpack(">H", data[at + 4 : at + 6])[0])
         if not ok:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
