@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,23 +28,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor never costs more than its own tasks."""
+    """Intermediate tables of one operator.
+
+    `keep` holds a table on the executors' disks: a lost executor's part is computed again from its inputs. `save`
+    writes one to the shared folder, which also cuts the plan and sets free what it was shuffled from.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.kept: dict[str, DataFrame] = {}
+        self.saved: set[str] = set()
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df = df.persist(StorageLevel.DISK_ONLY)
+        df.count()
+        self.kept[name] = df
+        return df
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        out = df if files is None else df.coalesce(files)
+        self.saved.add(name)
+        out.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables (all of them without names) that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        for p in [f"{self.root}/{n}" for n in names] or [self.root]:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Deletes tables that no later step reads."""
+        fs = None
+        for name in names:
+            if name in self.kept:
+                self.kept.pop(name).unpersist()
+                continue
+            if name not in self.saved:
+                continue
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            fs = fs or path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(path, True)
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_of(texts: pa.Array) -> pa.Array:

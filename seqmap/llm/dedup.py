@@ -29,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmap.llm.common import STEP_BYTES, Scratch, bytes_of, mix, plain, steps
+from seqmap.llm.common import STEP_BYTES, Scratch, bytes_of, free, mix, plain, steps
 from seqmap.llm.simjoin import packed_texts
 from seqmap.llm.suffix import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
-HOT = 1024
+#: Contexts of one anchor that still go to one block.
+HOT = 1 << 15
 BLOCK_BYTES = 1 << 21
+#: Lengths by which contexts are first compared left and right of their anchor.
+LEVELS = (9, 19, 28, 38, 47, 57, 66, WINDOW - 1)
 #: Anchors that a task holds before it sends them on.
 HELD = 1 << 21
 FOUND = "kind int, h long, ctx long, doc_id long, at long"
@@ -73,12 +76,12 @@ def least_in_windows(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, anchor's hash, context's hash, context's start and end in the row) of a step of rows."""
+    """(row, anchor's hash, context's hash, packed context in the row) of a step of rows."""
     raw = data[offsets[0] : offsets[-1]]
     at = offsets - offsets[0]
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        return none, none, none, none, none
+        return none, none, none, none
     sums = prefix_sums(raw)
     g = np.arange(len(raw) - GRAM + 1)
     h = spans_hash(sums, g, g + GRAM)
@@ -92,7 +95,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     start = np.maximum(at[of], picked - (WINDOW - 1))
     end = np.minimum(at[of + 1], picked + LENGTH)
     ctx = mix(spans_hash(sums, start, end) + (picked - start).astype(np.uint64))
-    return of, h[picked].view(np.int64), ctx.view(np.int64), start - at[of], end - at[of]
+    return of, h[picked].view(np.int64), ctx.view(np.int64), pack_at(start - at[of], end - at[of], picked - start)
 
 
 def _batch(kind: int | np.ndarray, h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -100,14 +103,14 @@ def _batch(kind: int | np.ndarray, h: np.ndarray, ctx: np.ndarray, doc: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (kind, h, ctx, doc, at)], names=["kind", "h", "ctx", "doc_id", "at"])
 
 
-def pack_at(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A context's or an interval's start and length in one number, in order of starts."""
-    return start << 24 | (end - start)
+def pack_at(start: np.ndarray, end: np.ndarray, left: np.ndarray | int = 0) -> np.ndarray:
+    """A context's or an interval's start, its anchor's place and its length in one number, in order of starts."""
+    return start << 24 | left << 16 | (end - start)
 
 
 def unpack_at(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = at >> 24
-    return start, start + (at & 0xFFFFFF)
+    return start, start + (at & 0xFFFF)
 
 
 def found_anchors(docs: DataFrame) -> DataFrame:
@@ -133,8 +136,8 @@ def found_anchors(docs: DataFrame) -> DataFrame:
             data, offsets = bytes_of(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j in steps(offsets):
-                of, h, ctx, start, end = anchors_of(data, offsets[i : j + 1])
-                held.append((h, ctx, ids[i:j][of].astype(np.int64), pack_at(start, end)))
+                of, h, ctx, at = anchors_of(data, offsets[i : j + 1])
+                held.append((h, ctx, ids[i:j][of].astype(np.int64), at))
                 size += len(h)
                 if size >= HELD:
                     yield from flush()
@@ -199,7 +202,7 @@ def compared(anchors: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, FOUND)
 
 
-CONTEXT = "h long, hot boolean, doc_id long, start long, bytes binary"
+CONTEXT = "h long, hot boolean, doc_id long, start long, left int, bytes binary"
 
 
 def contexts(docs: DataFrame, cands: DataFrame) -> DataFrame:
@@ -216,13 +219,38 @@ def contexts(docs: DataFrame, cands: DataFrame) -> DataFrame:
                 raw = unpack(z)
                 for c in cuts:
                     start = c["at"] >> 24
-                    rows.append((c["h"], c["hot"], doc, start, raw[start : start + (c["at"] & 0xFFFFFF)]))
+                    rows.append((c["h"], c["hot"], doc, start, c["at"] >> 16 & 0xFF, raw[start : start + (c["at"] & 0xFFFF)]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "hot", "doc_id", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "hot", "doc_id", "start", "left", "bytes"])
 
     return packed_texts(docs).join(wanted, "doc_id").mapInArrow(run, CONTEXT)
 
 
+def trimmed(hs: list[int], lefts: list[int], texts: list[bytes]) -> list[tuple[int, int, int]]:
+    """(context, first and last byte) of what another context of the same anchor can share.
+
+    A shared string has the anchor, and left and right of it together WINDOW - 1 bytes more. So contexts are compared
+    by hash at some lengths on each side; where both sides together fall short of that, nothing is shared.
+    """
+    h, left = np.array(hs, np.int64).view(np.uint64), np.array(lefts, np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    at = np.cumsum(size) - size + left
+    sums = prefix_sums(np.frombuffer(b"".join(texts), np.uint8))
+    most = []
+    for room, side in ((left, -1), (size - left - GRAM, 1)):
+        bound = np.minimum(room, LEVELS[0] - 1)
+        for k, e in enumerate(LEVELS):
+            may = np.flatnonzero(room >= e)
+            lo, hi = (at[may] - e, at[may]) if side < 0 else (at[may] + GRAM, at[may] + GRAM + e)
+            key = mix(spans_hash(sums, lo, hi) ^ h[may])
+            _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+            shared = may[counts[inverse] > 1]
+            bound[shared] = np.minimum(room[shared], LEVELS[k + 1] - 1 if k + 1 < len(LEVELS) else e)
+        most.append(bound)
+    keep = np.flatnonzero(most[0] + most[1] >= WINDOW - 1)
+    return list(zip(keep.tolist(), (left - most[0])[keep].tolist(), (left + GRAM + most[1])[keep].tolist()))
+
+
 def repeats_in_block(texts: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(doc_id, packed interval) of the strings in contexts that start earlier in another one."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -263,28 +291,33 @@ def sharded(found: DataFrame) -> DataFrame:
         hs: list[int] = []
         docs: list[int] = []
         starts: list[int] = []
+        lefts: list[int] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            doc, at = repeats_in_block(texts, np.array(docs, np.int64), np.array(starts, np.int64))
-            for x in (texts, hs, docs, starts):
+            parts = trimmed(hs, lefts, texts)
+            doc, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if parts:
+                doc, at = repeats_in_block([texts[i][a:b] for i, a, b in parts], np.array([docs[i] for i, _, _ in parts], np.int64), np.array([starts[i] + a for i, a, _ in parts], np.int64))
+            for x in (texts, hs, docs, starts, lefts):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at)], names=["doc_id", "at"])
 
         for b in batches:
-            for h, doc, start, raw in zip(*(c.to_pylist() for c in b.columns)):
+            for h, doc, start, left, raw in zip(*(c.to_pylist() for c in b.columns)):
                 if size >= BLOCK_BYTES and h != hs[-1]:
                     yield flush()
                     size = 0
                 hs.append(h)
                 docs.append(doc)
                 starts.append(start)
+                lefts.append(left)
                 texts.append(raw)
                 size += len(raw) + 1
         if texts:
             yield flush()
 
-    dealt = found.where("not hot").select("h", "doc_id", "start", "bytes").repartition(F.col("h")).sortWithinPartitions("h")
+    dealt = found.where("not hot").select("h", "doc_id", "start", "left", "bytes").repartition(F.col("h")).sortWithinPartitions("h")
     return dealt.mapInArrow(run, "doc_id long, at long")
 
 
@@ -316,13 +349,14 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, cuts): the packed intervals to be removed of each document that has some."""
     near = scratch.save(found_anchors(docs), "anchors")
     found = scratch.save(compared(near), "compared")
-    first = scratch.save(near.where(F.col("kind") == MARK).select("doc_id", "at"), "near_marks")
-    scratch.drop("anchors")
+    free(docs.sparkSession)
     cut = scratch.save(contexts(docs, found.where(F.col("kind") >= CAND)), "contexts")
-    marks = first.union(found.where(F.col("kind") == MARK).select("doc_id", "at")).union(scratch.save(sharded(cut), "shard_marks")).union(scratch.save(by_string(cut), "string_marks"))
-    marks = marks.groupBy("doc_id").agg(F.collect_list("at").alias("cuts"))  # bounded by the document
-    marks = scratch.save(marks, "marks")
-    scratch.drop("contexts", "compared", "near_marks", "shard_marks", "string_marks")
+    free(docs.sparkSession)
+    marks = near.union(found).where(F.col("kind") == MARK).select("doc_id", "at").union(sharded(cut)).union(by_string(cut))
+    marks = scratch.save(marks.groupBy("doc_id").agg(F.collect_list("at").alias("cuts")), "marks")  # bounded by the document
+    scratch.drop("anchors", "compared", "contexts")
+    del near, found, cut
+    free(docs.sparkSession)
     return marks
 
 
