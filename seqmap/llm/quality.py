@@ -213,6 +213,12 @@ def co_train(words: list, stats: np.ndarray, meta: list, y: np.ndarray, held: np
     return Model(views["text"], views["meta"], mixing, cut)
 
 
+def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column, as views of its values."""
+    a = col.combine_chunks()
+    return np.split(a.flatten().to_numpy(), np.cumsum(a.value_lengths().to_numpy())[:-1])
+
+
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[Model, Model] | None:
     """(quality, toxicity) from a bounded sample; None without usable labels."""
     own = plain(docs, "doc_id", "text", "lang", "source", "n_chars")
@@ -224,12 +230,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     sample = some.select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(rest)
     # at most labelled + unlabelled rows of three numbers
     got = featurise(own.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
-    y = {k: np.array([np.nan if v is None else float(v) for v in got.column(k).to_pylist()]) for k in ("quality", "toxic")}
+    y = {k: got.column(k).cast(pa.float64()).fill_null(float("nan")).to_numpy() for k in ("quality", "toxic")}
     if not len(got) or np.isnan(y["quality"]).all():
         return None
-    words = [np.array(w, np.int64) for w in got.column("words").to_pylist()]
-    meta = [np.array(w, np.int64) for w in got.column("meta").to_pylist()]
-    stats = np.array(got.column("stats").to_pylist(), float).reshape(len(got), N_STATS)
+    words, meta = (_lists(got.column(k)) for k in ("words", "meta"))
+    stats = got.column("stats").combine_chunks().flatten().to_numpy().reshape(len(got), N_STATS)
     held = np.array([_hash(f"held {d}") % 4 == 0 for d in got.column("doc_id").to_pylist()])
     return co_train(words, stats, meta, y["quality"], held, 1), co_train(words, stats, meta, y["toxic"], held, 0)
 
