@@ -1,35 +1,74 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmap.llm.common import Scratch
 
+#: Links that one task may join by itself (16 bytes each).
+LOCAL_LINKS = 1 << 20
+ROWS_PER_FILE = 1 << 20
+
+
+def components(links: DataFrame, scratch: Scratch, name: str, rows: int, local: int = LOCAL_LINKS) -> DataFrame:
+    """rows links (a, b) -> (node, root): root is the smallest node that links reach; nodes without links are left out.
+
+    Few links are joined in one task. More are joined in rounds of large and small stars.
+    """
+    if rows <= local:
+        return scratch.save(joined(links), f"{name}_roots", 1)
+    return stars(links, scratch, name, rows)
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """Union-find over all links, for a number of links that is known to be small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(n) for n in nodes], pa.int64())], names=["node", "root"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """links(a, b) -> (node, root): root is the smallest node that links reach; nodes without links are left out.
+def stars(links: DataFrame, scratch: Scratch, name: str, rows: int) -> DataFrame:
+    """Each round first hangs a node's larger neighbours below its smallest one, then its smaller ones.
 
-    Each round first hangs a node's larger neighbours below its smallest one, then its smaller ones; the smallest
-    neighbour is pre-aggregated and joined back, so a node with very many links is never gathered. Rounds are written
-    to the shared folder. It ends when a round changes nothing, which the stars' count and sums show.
+    The smallest neighbour is pre-aggregated and joined back, so a node with very many links is never gathered. Rounds
+    are written to the shared folder. It ends when a round changes nothing, which the links' count and sum show.
     """
-    edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}_0")
-    seen = None
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges, seen = scratch.save(edges, f"{name}_0", 1 + rows // ROWS_PER_FILE), None
     for k in range(1, 60):
         both = edges.union(edges.select("v", "u"))
-        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}_m{k}")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.save(large, f"{name}_l{k}")
-        least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_n{k}")
-        near = large.join(least, "u")
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = scratch.save(small, f"{name}_{k}")
-        scratch.drop(f"{name}_m{k}", f"{name}_l{k}", f"{name}_n{k}", f"{name}_{k - 1}")
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = large.join(lower, "u")
+        small = near.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        new = scratch.save(small.where("u <> v").distinct(), f"{name}_{k}", 1 + rows // ROWS_PER_FILE)
+        scratch.drop(f"{name}_{k - 1}")
+        edges = new
+        rows, total = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (rows, total) == seen or not rows:
             break
-        seen = mark
+        seen = (rows, total)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -16,7 +16,10 @@ class of a token for all documents alike, so it costs time but never a link.
 
 Equal sets are one entity (a 64-bit digest; two different ones fall together with probability n^2 / 2^65), so copies
 are never paired. Of the entities that share a signature, rounds first compare each with one pivot; entities that
-links already connect are not compared again, and what stands apart after the rounds is compared pair by pair.
+links already connect are not compared again, and what stands apart after the rounds is compared pair by pair, an
+entity of the smaller component with those of the larger.
+A token of a prefix that no other set has is missing in every partner: two sets are not compared if either has more
+of these than sets of their sizes may miss, so copies that were each changed too much never pair up.
 
 Null or wordless texts have the empty set, are linked with nothing and are their own component. Rows of null id get a
 component as any other; repeated rows repeat their result; an empty table gives no rows; extra columns are ignored.
@@ -28,16 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmap.llm.common import Scratch, bytes_of, digest, mix, plain, shingle_sets, steps
+from seqmap.llm.common import Scratch, bytes_of, digest, free, mix, plain, shingle_sets, steps
 from seqmap.llm.graph import components
 
 SKETCH_BITS, DEPTH, BLOCK = 18, 2, 1 << 16
-ROUNDS = 2
+ROUNDS = 1
 ENTITY = "doc_id long, n int, ent long, block int, counts binary"
-SIGNATURE = "sig long, ent long, n int, frequent boolean"
+#: weight: the number of single tokens that the set gives, and in the low half the cost of this signature.
+SIGNATURE = "sig long, ent long, n int, weight long, frequent boolean"
 _BAND = mix(np.arange(64, dtype=np.uint64) + np.uint64(977))
 _LOW, _HIGH = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -91,35 +95,41 @@ def summed(blocks: DataFrame, *keys: str) -> DataFrame:
     return blocks.repartition(*keys).mapInArrow(run, "salt long, block int, counts binary")
 
 
-def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of one set and whether each is a combination of frequent tokens."""
+def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures of one set, whether each is a combination of frequent tokens, and their costs.
+
+    A signature's cost is the number of missing tokens that a prefix which just has it rules out, and one.
+    """
     n = len(tokens)
     need = n // 4 + 1
     order = np.lexsort((tokens, counts))
     t, rare = tokens[order], int(np.count_nonzero(counts < limit))
     if rare >= need:
-        return t[:need], np.zeros(need, bool)
-    single, combined = [t[:rare]], []
+        return t[:need], np.zeros(need, bool), np.arange(1, need + 1)
+    single, combined, costs = [t[:rare]], [], [np.arange(1, rare + 1)]
     for band in sorted({n.bit_length() - 1, (4 * n // 3).bit_length() - 1}):
         groups = (1 << band) // 4
         if not groups:
             combined.append(t[rare:need])
+            costs.append(np.arange(rare + 1, need + 1))
             continue
         f = t[rare:]
         g = (mix(f + _BAND[band]) % np.uint64(groups)).astype(np.int64)
         gain = np.ones(len(f), np.int64)
         gain[np.unique(g, return_index=True)[1]] = 0
-        m = int(np.searchsorted(np.cumsum(gain), need - rare)) + 1
+        total = np.cumsum(gain)
+        m = int(np.searchsorted(total, need - rare)) + 1
         by = np.argsort(g[:m], kind="stable")
-        f, g = f[by], g[by]
+        f, g, total = f[by], g[by], total[by]
         for d in range(1, int(np.bincount(g).max())):
             same = np.flatnonzero(g[d:] == g[:-d])
             if not len(same):
                 break
             a, b = f[same], f[same + d]
             combined.append(mix(np.minimum(a, b) * _LOW + np.maximum(a, b) * _HIGH + _BAND[band]))
+            costs.append(rare + total[same + d])
     pairs = np.concatenate(combined)
-    return np.concatenate([*single, pairs]), np.append(np.zeros(rare, bool), np.ones(len(pairs), bool))
+    return np.concatenate([*single, pairs]), np.append(np.zeros(rare, bool), np.ones(len(pairs), bool)), np.concatenate(costs)
 
 
 def signatures(docs: DataFrame, sketch: np.ndarray, limit: int) -> DataFrame:
@@ -131,21 +141,22 @@ def signatures(docs: DataFrame, sketch: np.ndarray, limit: int) -> DataFrame:
         for b in batches:
             data, offsets = bytes_of(b.column(0))
             for i, j in steps(offsets):
-                sigs, freq, ents, sizes, lens = [], [], [], [], []
+                sigs, freq, ents, sizes, lens, weights = [], [], [], [], [], []
                 for s in shingle_sets(data, offsets[i : j + 1]):
                     ent = digest(s)
                     if not len(s) or ent in seen:
                         continue
                     seen.add(ent)
                     counts = np.minimum.reduce([counters[d][at] for d, at in enumerate(_places(s))])
-                    x, y = prefix_signatures(s, counts, limit)
+                    x, y, cost = prefix_signatures(s, counts, limit)
                     sigs.append(x)
                     freq.append(y)
                     ents.append(ent)
                     sizes.append(len(s))
                     lens.append(len(x))
+                    weights.append((len(y) - int(np.count_nonzero(y)) << 32) + cost.astype(np.int64))
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(ents, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.concatenate(freq))], names=["sig", "ent", "n", "frequent"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(ents, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.concatenate(weights)), pa.array(np.concatenate(freq))], names=["sig", "ent", "n", "weight", "frequent"])
 
     return plain(docs, "text").mapInArrow(run, SIGNATURE)
 
@@ -154,7 +165,7 @@ def shared_rare(sigs: DataFrame) -> DataFrame:
     """The rows of rare signatures that two entities or more have; such a signature has fewer rows than the class limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
         for b in batches:
             cols = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, b.columns)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -163,17 +174,17 @@ def shared_rare(sigs: DataFrame) -> DataFrame:
         yield from runs(held)
 
     def runs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sig, ent, _ = cols
+        sig, ent = cols[:2]
         if len(sig) < 2:
             return
         starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         ends = np.append(starts[1:], len(sig)) - 1
         keep = np.repeat(ent[starts] != ent[ends], ends - starts + 1)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["sig", "ent", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["sig", "ent", "n", "weight"])
 
-    dealt = sigs.where("not frequent").select("sig", "ent", "n").repartition(F.col("sig")).sortWithinPartitions("sig", "ent")
-    return dealt.mapInArrow(run, "sig long, ent long, n int")
+    dealt = sigs.where("not frequent").select("sig", "ent", "n", "weight").repartition(F.col("sig")).sortWithinPartitions("sig", "ent")
+    return dealt.mapInArrow(run, "sig long, ent long, n int, weight long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -228,11 +239,37 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def apart(live: DataFrame, shared: DataFrame, comp: DataFrame, scratch: Scratch, near: Column, early: Column) -> DataFrame:
+    """All pairs of entities of different components that share a signature, each from the smaller component's side.
+
+    A component that its neighbours meet in more rows of shared signatures than it has members for them is met as a
+    whole: members that share none are compared too, which changes nothing. The others are met in the signatures.
+    Bounds of the members' sizes keep out whom no member can be near to.
+    """
+    own = shared.select("ent", "n", "alone").distinct().join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left")
+    own = own.select("ent", "n", "alone", F.coalesce("root", "ent").alias("c"))
+    sizes = own.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    left = scratch.keep(live.join(sizes, "c"), "left")
+    bounds = (F.min("n").alias("lo_n"), F.max("n").alias("hi_n"), F.min("alone").alias("lo_alone"), F.min("cost").alias("lo_cost"))
+    there = left.groupBy("sig", F.col("c").alias("p_c"), F.col("size").alias("p_size")).agg(F.count(F.lit(1)).alias("rows"), *bounds)
+    smaller = F.expr("size < p_size or (size = p_size and c < p_c)")
+    possible = F.expr("4 * hi_n >= 3 * n and 4 * n >= 3 * lo_n and alone <= n - (3 * (n + lo_n) + 6) div 7 and lo_alone <= hi_n - (3 * (n + hi_n) + 6) div 7 and cost <= n - (3 * (n + lo_n) + 6) div 7 + 1 and lo_cost <= hi_n - (3 * (n + hi_n) + 6) div 7 + 1")
+    towards = left.join(there, "sig").where(smaller & possible).groupBy("ent", "n", "alone", "p_c", "p_size").agg(F.sum("rows").alias("rows"))
+    towards = scratch.keep(towards, "towards")
+    big = towards.groupBy("p_c", "p_size").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("met")).where("rows > met * p_size").select("p_c")
+    other = lambda df, *cols: df.select(*cols, *[F.col(x).alias(f"p_{x}") for x in ("ent", "n", "alone", "c")])
+    whole = towards.join(big, "p_c", "left_semi").join(other(own), "p_c").where(near)
+    rest = other(left, "sig", F.col("size").alias("p_size"), F.col("cost").alias("p_cost")).join(big, "p_c", "left_anti")
+    single = left.join(rest, "sig").where(smaller & near & early)
+    cols = ("ent", "n", "alone", "p_ent", "p_n", "p_alone")
+    return whole.select(*cols).union(single.select(*cols))
+
+
 def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles, component_id, ent (equal for equal sets)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "simjoin")
-    first = scratch.save(entities(docs), "entities")
+    first = scratch.keep(entities(docs), "entities")
     blocks = first.where("block is not null").select(F.col("doc_id").alias("salt"), "block", "counts")
     got = summed(summed(blocks, "block", "salt"), "block").select("block", "counts").collect()  # the sketch: fixed size
     sketch = np.zeros((DEPTH << SKETCH_BITS) // BLOCK * BLOCK, np.uint32).reshape(-1, BLOCK)
@@ -242,48 +279,54 @@ def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     limit = 2 * int(sketch[0].mean(dtype=np.float64)) + 256
 
     rows = first.where("block is null").select("doc_id", "n", "ent")
-    ents = scratch.save(rows.where("n > 0").groupBy("ent").agg(F.min("doc_id").alias("doc_id")), "ents")
-    sigs = scratch.save(signatures(docs, sketch, limit), "signatures")
-    frequent = sigs.where("frequent").select("sig", "ent", "n")
-    often = scratch.save(frequent.groupBy("sig").agg(F.min("ent").alias("lo"), F.max("ent").alias("hi")).where("lo <> hi").select("sig"), "often")
-    rare = scratch.save(shared_rare(sigs), "rare")
-    shared = scratch.save(rare.unionByName(frequent.join(often, "sig").select("sig", "ent", "n")), "shared")
-    scratch.drop("signatures", "often", "rare")
+    ents = scratch.keep(rows.where("n > 0").groupBy("ent").agg(F.min("doc_id").alias("doc_id")), "ents")
+    sigs = scratch.keep(signatures(docs, sketch, limit), "signatures")
+    frequent = sigs.where("frequent").select("sig", "ent", "n", "weight")
+    often = scratch.keep(frequent.groupBy("sig").agg(F.min("ent").alias("lo"), F.max("ent").alias("hi")).where("lo <> hi").select("sig"), "often")
+    rare = shared_rare(sigs)
+    both = rare.withColumn("one", F.lit(1)).unionByName(frequent.join(often, "sig").select("sig", "ent", "n", "weight", F.lit(0).alias("one")))
+    # tokens that no other set has are missing in every partner; one that can't miss so many is out
+    both = scratch.keep(both, "both")
+    alone = both.groupBy("ent").agg((F.shiftright(F.first("weight"), 32) - F.sum("one")).cast("int").alias("alone"))
+    files = 1 + ents.count() // 32768
+    shared = scratch.save(both.select("sig", "ent", "n", F.expr("cast(weight & 4294967295 as int)").alias("cost")).join(alone, "ent").where("alone <= n div 4").select("sig", "ent", "n", "alone", "cost"), "shared", files)
+    scratch.drop("signatures", "often", "both")
+    del sigs, frequent, often, rare, both, alone
+    free(spark)
     need = ents.join(shared.select("ent").distinct(), "ent", "left_semi")
-    texts = scratch.save(packed_texts(docs).join(need, "doc_id").select("ent", "z"), "texts")
-
-    links = done = comp = None
-    live = shared.withColumn("c", F.col("ent"))
+    texts = scratch.save(packed_texts(docs).join(need, "doc_id").select("ent", "z"), "texts", 2 * files)
+    free(spark)
+
+    comp = None
+    known = 0
+    near = F.expr("4 * least(n, p_n) >= 3 * greatest(n, p_n) and alone <= n - (3 * (n + p_n) + 6) div 7 and p_alone <= p_n - (3 * (n + p_n) + 6) div 7")
+    # a pair of like sizes shares a signature in prefixes that are shorter than those for the least partner
+    early = F.expr("cost <= n - (3 * (n + p_n) + 6) div 7 + 1 and p_cost <= p_n - (3 * (n + p_n) + 6) div 7 + 1")
     for k in range(ROUNDS + 1):
+        live = shared.withColumn("c", F.col("ent"))
         if comp is not None:
-            live = live.drop("c").join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left").select("sig", "ent", "n", F.coalesce("root", "ent").alias("c"))
-            live = scratch.save(live, f"live_{k}")
-        pick = F.min(F.struct(F.xxhash64("ent", F.lit(k)).alias("h"), "ent", "n", "c")).alias("p")
+            live = shared.join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left").select(*shared.columns, F.coalesce("root", "ent").alias("c"))
+        pick = F.min(F.struct(F.xxhash64("ent", F.lit(k)).alias("h"), "ent", "n", "alone", "cost", "c")).alias("p")
         pivots = live.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pick).where("lo <> hi")
-        pivots = scratch.save(pivots.select("sig", F.col("p.ent").alias("p_ent"), F.col("p.n").alias("p_n"), F.col("p.c").alias("p_c")), f"pivots_{k}")
-        near = F.expr("4 * least(n, p_n) >= 3 * greatest(n, p_n)")
-        joined = live.join(pivots, "sig")
+        pivots = scratch.keep(pivots.select("sig", F.col("p.ent").alias("p_ent"), F.col("p.n").alias("p_n"), F.col("p.alone").alias("p_alone"), F.col("p.cost").alias("p_cost"), F.col("p.c").alias("p_c")), f"pivots_{k}")
         if k < ROUNDS:
-            pairs = joined.where(F.col("c") != F.col("p_c"))
+            pairs = live.join(pivots, "sig").where("c <> p_c")
         else:
-            left = scratch.save(live.join(pivots.select("sig"), "sig", "left_semi"), "left")
-            right = left.select("sig", F.col("ent").alias("p_ent"), F.col("n").alias("p_n"), F.col("c").alias("p_c"))
-            pairs = left.join(right, "sig").where("ent < p_ent and c <> p_c")
+            pairs = apart(live.join(pivots.select("sig"), "sig", "left_semi"), shared, comp, scratch, near, early)
         pairs = pairs.where(near).select(F.least("ent", "p_ent").alias("a"), F.greatest("ent", "p_ent").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs_{k}")
-        judged = scratch.save(verify(pairs, texts), f"judged_{k}")
-        done = judged.select("a", "b") if done is None else done.union(judged.select("a", "b"))
+        judged = scratch.keep(verify(pairs, texts), f"judged_{k}")
         new = judged.where("linked").select("a", "b")
-        links = new if links is None else comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
-        comp = scratch.save(components(links, scratch, f"comp_{k}"), f"roots_{k}")
-        scratch.drop(f"pairs_{k}")
-        live = live.join(pivots.select("sig"), "sig", "left_semi")
+        known += new.count()
+        links = new if comp is None else comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
+        comp = components(links, scratch, f"comp_{k}", known)
+        # the components are written, so what they came from may go
+        scratch.drop(f"pivots_{k}", f"judged_{k}", "left", "towards")
+        live = pivots = pairs = judged = new = links = None
+        free(spark)
 
     member = ents.join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left").select("ent", "doc_id", F.coalesce("root", "ent").alias("root"))
-    member = scratch.save(member, "member")
-    tops = scratch.save(member.groupBy("root").agg(F.min("doc_id").alias("top")), "tops")
-    ends = scratch.save(member.join(tops, "root").select("ent", "top"), "ends")
+    member = scratch.keep(member, "member")
+    tops = scratch.keep(member.groupBy("root").agg(F.min("doc_id").alias("top")), "tops")
+    ends = scratch.keep(member.join(tops, "root").select("ent", "top"), "ends")
     out = rows.join(ends, "ent", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("top", "doc_id").alias("component_id"), "ent")
     return out
