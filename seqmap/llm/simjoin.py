@@ -15,7 +15,8 @@ Frequencies come from a count sketch of fixed size over all documents. An error
 class of a token for all documents alike, so it costs time but never a link.
 
 Equal sets are one entity (a 64-bit digest; two different ones fall together with probability n^2 / 2^65), so copies
-are never paired. Of the entities that share a signature, rounds first compare each with one pivot; entities that
+are never paired. Of the entities that share a signature, rounds first compare each with one pivot,
+the one with the fewest tokens of its own, as the least changed of many copies is near to most of them; entities that
 links already connect are not compared again, and what stands apart after the rounds is compared pair by pair, an
 entity of the smaller component with those of the larger.
 A token of a prefix that no other set has is missing in every partner: two sets are not compared if either has more
@@ -306,7 +307,7 @@ def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
         live = shared.withColumn("c", F.col("ent"))
         if comp is not None:
             live = shared.join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left").select(*shared.columns, F.coalesce("root", "ent").alias("c"))
-        pick = F.min(F.struct(F.xxhash64("ent", F.lit(k)).alias("h"), "ent", "n", "alone", "cost", "c")).alias("p")
+        pick = F.min(F.struct("alone", F.xxhash64("ent", F.lit(k)).alias("h"), "ent", "n", "cost", "c")).alias("p")
         pivots = live.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pick).where("lo <> hi")
         pivots = scratch.keep(pivots.select("sig", F.col("p.ent").alias("p_ent"), F.col("p.n").alias("p_n"), F.col("p.alone").alias("p_alone"), F.col("p.cost").alias("p_cost"), F.col("p.c").alias("p_c")), f"pivots_{k}")
         if k < ROUNDS:
