@@ -19,8 +19,11 @@ are never paired. Of the entities that share a signature, rounds first compare e
 the one with the fewest tokens of its own, as the least changed of many copies is near to most of them; entities that
 links already connect are not compared again, and what stands apart after the rounds is compared pair by pair, an
 entity of the smaller component with those of the larger.
-A token of a prefix that no other set has is missing in every partner: two sets are not compared if either has more
-of these than sets of their sizes may miss, so copies that were each changed too much never pair up.
+Single tokens of two prefixes that stand before the end of the prefix that ends first are in both if they are in both
+sets, so two sets share at most what the one with fewer shared tokens in its prefix has there (`got`) and what the
+other one's set has behind that end (`rest`). Sets that reach too little likeness even so are not compared, so copies
+of one size that were each changed too much never pair up. A token that only a longer partner's prefix leaves out is
+never taken as missing.
 
 Null or wordless texts have the empty set, are linked with nothing and are their own component. Rows of null id get a
 component as any other; repeated rows repeat their result; an empty table gives no rows; extra columns are ignored.
@@ -41,6 +44,9 @@ from seqmap.llm.graph import components
 SKETCH_BITS, DEPTH, BLOCK = 18, 2, 1 << 16
 ROUNDS = 1
 ENTITY = "doc_id long, n int, ent long, block int, counts binary"
+#: The most tokens that an entity and its partner p_ may share behind the prefix that ends first; one that has all its
+#: rare tokens as single ones (the whole class) does not end first.
+BEHIND = "coalesce(greatest(if(n - rest <= n div 4, null, rest), if(p_n - p_rest <= p_n div 4, null, p_rest)), least(rest, p_rest))"
 #: weight: the number of single tokens that the set gives, and in the low half the cost of this signature.
 SIGNATURE = "sig long, ent long, n int, weight long, frequent boolean"
 _BAND = mix(np.arange(64, dtype=np.uint64) + np.uint64(977))
@@ -247,22 +253,23 @@ def apart(live: DataFrame, shared: DataFrame, comp: DataFrame, scratch: Scratch,
     whole: members that share none are compared too, which changes nothing. The others are met in the signatures.
     Bounds of the members' sizes keep out whom no member can be near to.
     """
-    own = shared.select("ent", "n", "alone").distinct().join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left")
-    own = own.select("ent", "n", "alone", F.coalesce("root", "ent").alias("c"))
+    own = shared.select("ent", "n", "got", "rest").distinct().join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left")
+    own = own.select("ent", "n", "got", "rest", F.coalesce("root", "ent").alias("c"))
     sizes = own.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
     left = scratch.keep(live.join(sizes, "c"), "left")
-    bounds = (F.min("n").alias("lo_n"), F.max("n").alias("hi_n"), F.min("alone").alias("lo_alone"), F.min("cost").alias("lo_cost"))
+    most = lambda x: F.max(F.expr(f"7 * ({x}) - 3 * n"))
+    bounds = (F.min("n").alias("lo_n"), F.max("n").alias("hi_n"), most("got").alias("hi_got"), most("rest").alias("hi_rest"), most("got + rest").alias("hi_both"), F.min("cost").alias("lo_cost"))
     there = left.groupBy("sig", F.col("c").alias("p_c"), F.col("size").alias("p_size")).agg(F.count(F.lit(1)).alias("rows"), *bounds)
     smaller = F.expr("size < p_size or (size = p_size and c < p_c)")
-    possible = F.expr("4 * hi_n >= 3 * n and 4 * n >= 3 * lo_n and alone <= n - (3 * (n + lo_n) + 6) div 7 and lo_alone <= hi_n - (3 * (n + hi_n) + 6) div 7 and cost <= n - (3 * (n + lo_n) + 6) div 7 + 1 and lo_cost <= hi_n - (3 * (n + hi_n) + 6) div 7 + 1")
-    towards = left.join(there, "sig").where(smaller & possible).groupBy("ent", "n", "alone", "p_c", "p_size").agg(F.sum("rows").alias("rows"))
+    possible = F.expr("4 * hi_n >= 3 * n and 4 * n >= 3 * lo_n and (7 * (got + rest) >= 3 * (n + lo_n) or 7 * got + hi_rest >= 3 * n) and (hi_both >= 3 * n or hi_got + 7 * rest >= 3 * n) and cost <= n - (3 * (n + lo_n) + 6) div 7 + 1 and lo_cost <= hi_n - (3 * (n + hi_n) + 6) div 7 + 1")
+    towards = left.join(there, "sig").where(smaller & possible).groupBy("ent", "n", "got", "rest", "p_c", "p_size").agg(F.sum("rows").alias("rows"))
     towards = scratch.keep(towards, "towards")
     big = towards.groupBy("p_c", "p_size").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("met")).where("rows > met * p_size").select("p_c")
-    other = lambda df, *cols: df.select(*cols, *[F.col(x).alias(f"p_{x}") for x in ("ent", "n", "alone", "c")])
+    other = lambda df, *cols: df.select(*cols, *[F.col(x).alias(f"p_{x}") for x in ("ent", "n", "got", "rest", "c")])
     whole = towards.join(big, "p_c", "left_semi").join(other(own), "p_c").where(near)
     rest = other(left, "sig", F.col("size").alias("p_size"), F.col("cost").alias("p_cost")).join(big, "p_c", "left_anti")
     single = left.join(rest, "sig").where(smaller & near & early)
-    cols = ("ent", "n", "alone", "p_ent", "p_n", "p_alone")
+    cols = ("ent", "n", "got", "rest", "p_ent", "p_n", "p_got", "p_rest")
     return whole.select(*cols).union(single.select(*cols))
 
 
@@ -286,13 +293,12 @@ def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     often = scratch.keep(frequent.groupBy("sig").agg(F.min("ent").alias("lo"), F.max("ent").alias("hi")).where("lo <> hi").select("sig"), "often")
     rare = shared_rare(sigs)
     both = rare.withColumn("one", F.lit(1)).unionByName(frequent.join(often, "sig").select("sig", "ent", "n", "weight", F.lit(0).alias("one")))
-    # tokens that no other set has are missing in every partner; one that can't miss so many is out
     both = scratch.keep(both, "both")
-    alone = both.groupBy("ent").agg((F.shiftright(F.first("weight"), 32) - F.sum("one")).cast("int").alias("alone"))
+    ahead = both.groupBy("ent").agg(F.sum("one").cast("int").alias("got"), (F.first("n") - F.shiftright(F.first("weight"), 32)).cast("int").alias("rest"))
     files = 1 + ents.count() // 32768
-    shared = scratch.save(both.select("sig", "ent", "n", F.expr("cast(weight & 4294967295 as int)").alias("cost")).join(alone, "ent").where("alone <= n div 4").select("sig", "ent", "n", "alone", "cost"), "shared", files)
+    shared = scratch.save(both.select("sig", "ent", "n", F.expr("cast(weight & 4294967295 as int)").alias("cost")).join(ahead, "ent").select("sig", "ent", "n", "got", "rest", "cost"), "shared", files)
     scratch.drop("signatures", "often", "both")
-    del sigs, frequent, often, rare, both, alone
+    del sigs, frequent, often, rare, both, ahead
     free(spark)
     need = ents.join(shared.select("ent").distinct(), "ent", "left_semi")
     texts = scratch.save(packed_texts(docs).join(need, "doc_id").select("ent", "z"), "texts", 2 * files)
@@ -300,16 +306,16 @@ def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
     comp = None
     known = 0
-    near = F.expr("4 * least(n, p_n) >= 3 * greatest(n, p_n) and alone <= n - (3 * (n + p_n) + 6) div 7 and p_alone <= p_n - (3 * (n + p_n) + 6) div 7")
+    near = F.expr("4 * least(n, p_n) >= 3 * greatest(n, p_n) and 7 * (least(got, p_got) + " + BEHIND + ") >= 3 * (n + p_n)")
     # a pair of like sizes shares a signature in prefixes that are shorter than those for the least partner
     early = F.expr("cost <= n - (3 * (n + p_n) + 6) div 7 + 1 and p_cost <= p_n - (3 * (n + p_n) + 6) div 7 + 1")
     for k in range(ROUNDS + 1):
         live = shared.withColumn("c", F.col("ent"))
         if comp is not None:
             live = shared.join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left").select(*shared.columns, F.coalesce("root", "ent").alias("c"))
-        pick = F.min(F.struct("alone", F.xxhash64("ent", F.lit(k)).alias("h"), "ent", "n", "cost", "c")).alias("p")
+        pick = F.min(F.struct(F.expr("n - rest - got").alias("alone"), F.xxhash64("ent", F.lit(k)).alias("h"), "ent", "n", "got", "rest", "cost", "c")).alias("p")
         pivots = live.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pick).where("lo <> hi")
-        pivots = scratch.keep(pivots.select("sig", F.col("p.ent").alias("p_ent"), F.col("p.n").alias("p_n"), F.col("p.alone").alias("p_alone"), F.col("p.cost").alias("p_cost"), F.col("p.c").alias("p_c")), f"pivots_{k}")
+        pivots = scratch.keep(pivots.select("sig", F.col("p.ent").alias("p_ent"), F.col("p.n").alias("p_n"), F.col("p.got").alias("p_got"), F.col("p.rest").alias("p_rest"), F.col("p.cost").alias("p_cost"), F.col("p.c").alias("p_c")), f"pivots_{k}")
         if k < ROUNDS:
             pairs = live.join(pivots, "sig").where("c <> p_c")
         else:

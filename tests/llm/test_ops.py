@@ -75,6 +75,27 @@ def test_ngram_join_of_repeated_rows(docs):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, c) for i, (_, c) in brute.components(plain).items()}
 
 
+@pytest.mark.parametrize("limit", [None, 2])
+def test_ngram_join_of_extended_and_truncated_copies(spark, monkeypatch, limit):
+    from seqmap.llm import simjoin
+
+    if limit:
+        whole = simjoin.prefix_signatures
+        monkeypatch.setattr(simjoin, "prefix_signatures", lambda t, c, _: whole(t, c, limit))
+    r = random.Random(5)
+    plain = {}
+    for i in range(60):
+        words = [f"{r.random():.9f}" for _ in range(r.randint(40, 120))]
+        n = r.randint(len(words) // 12, len(words) // 3)
+        more = [f"{r.random():.9f}" for _ in range(n)]
+        plain[2 * i] = " ".join(words)
+        plain[2 * i + 1] = " ".join([words + more, more + words, words[:-n], words[n:]][i % 4])
+    want = brute.components(plain)
+    assert 20 < sum(c < i for i, (_, c) in want.items()) < 60
+    got = by_id(simjoin.near_components(spark.createDataFrame(list(plain.items()), "doc_id long, text string")))
+    assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == want
+
+
 def test_prefixes_share_a_signature_whenever_sets_are_near():
     from seqmap.llm.simjoin import prefix_signatures
 
