@@ -1,9 +1,8 @@
 r"""Document fingerprints from spot signatures.
 
 A spot is a common word (an anchor); its signature is the anchor with the chain of the next CHAIN content words, other
-anchors being skipped. Spots sit where running text is, so menus and boilerplate hardly count. Words whose hash falls
-into one of ANCHOR_CLASSES classes (in short texts every word) stand for themselves as well, so that texts without
-common words have signatures.
+anchors being skipped. Spots sit where running text is. Every word stands for itself as well, in texts of every size,
+so that texts without common words have signatures and likeness has no jump at any length.
 A fingerprint is the partition of its set's length, then the sorted distinct 32-bit signatures.
 
 Two fingerprints are compared by Jaccard likeness; sets whose lengths alone keep it below LEAST_LIKENESS are not
@@ -33,9 +32,6 @@ au aux avec ce ces cette dans de du elle en est et il je la le les leur lui mais
 al como con del el ella ellos era esta este fue ha hay la las lo los más me mi muy no nos para pero por se si sin sobre son su sus también una uno y ya
 """
 CHAIN = 2
-ANCHOR_CLASSES = 4
-#: Texts of at most so many characters have every word as a signature.
-SHORT = 256
 LEAST_LIKENESS = 0.05
 RATIO = 0.75
 #: Buckets of neighbouring ids; a table of so many rows is broadcast at most.
@@ -65,7 +61,6 @@ def signatures(text: Column) -> Column:
     low = F.lower(text)
     chains = F.transform(F.regexp_extract_all(low, F.lit(SPOT), F.lit(1)), lambda x: F.hash(F.regexp_replace(x, SKIPPED, "")))
     words = F.transform(F.split(low, r"\s+"), lambda x: F.hash(F.lit("w"), x))
-    words = F.when(F.length(low) <= SHORT, words).otherwise(F.filter(words, lambda h: F.pmod(h, F.lit(ANCHOR_CLASSES)) == 0))
     return F.when(F.trim(low) == "", F.array().cast("array<int>")).otherwise(F.sort_array(F.array_distinct(F.concat(chains, words))))
 
 

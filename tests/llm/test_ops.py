@@ -347,6 +347,17 @@ def test_fingerprints(docs, empty):
     assert all(x.n >= 2 for x in one)
 
 
+def test_fingerprints_have_one_rule_at_every_size(spark):
+    from seqmap.llm.spots import likeness, signatures
+
+    r = random.Random(8)
+    text = "".join(r.choice("bcdfghjk") + r.choice("aeiou") + r.choice("lmnprst") + " " for _ in range(80))
+    cut = spark.createDataFrame([(n, text[: n + 12].strip(), text[:n].strip()) for n in (200, 248, 300)], "n int, a string, b string")
+    cut = cut.withColumns({"a": signatures(F.col("a")), "b": signatures(F.col("b"))})
+    near = {x.n: x.near for x in cut.select("n", likeness("a", "b").alias("near")).collect()}
+    assert all(x > 0.85 for x in near.values()), near
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
