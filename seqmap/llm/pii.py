@@ -127,7 +127,7 @@ def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     df = locate(df, "text", "_ip", IP, 1, t.rlike(r"[0-9]\.[0-9]+\.[0-9]"))
     df = locate(df, "text", "_card", CARD, 2, t.rlike(r"(?:[0-9][\x20-]?){13}[0-9]"))
     df = locate(df, "text", "_phone", PHONE, 3, t.rlike(r"\+[0-9]"))
-    df = locate(df, "text", "_spelled", SPELLED, 4, t.rlike(r"[(\[]at[)\]]|\x20at\x20[^\x20]{2,64}(?:\x20dot\x20|\.)"))
+    df = locate(df, "text", "_spelled", SPELLED, 4, t.rlike(r"[(\[]at[)\]]|\x20at\x20"))
     df = locate(df, "text", "_number", NUMBER, 5, t.rlike(r"[0-9][\x20().-]{1,3}[0-9]{2}"))
     df = locate(df, "text", "_code", CODE, 6, t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"))
     part = lambda s, i: F.get(F.split(s["text"], r"\."), F.lit(i))

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import zlib
 
 import numpy as np
@@ -200,6 +201,20 @@ def test_personal_data(docs, empty, spark):
     assert digest(find(empty)).count() == 0
 
 
+def test_spelled_addresses_do_not_depend_on_other_text(spark):
+    from seqmap.llm.pii import SPELLED, digest, find
+
+    ats, dots = ("(at)", "[at]", " at ", " (at) ", " [at] "), (".", " dot ", "(dot)", "[dot]", " (dot) ", " [dot] ")
+    spelled = [f"jane{a}example{d}com" for a in ats for d in dots]
+    assert all(re.fullmatch(SPELLED, x) for x in spelled)
+    alone = [f"contact {x}" for x in spelled]
+    rows = [(i, t) for i, t in enumerate(alone)] + [(1000 + i, t + "\n# (at)") for i, t in enumerate(alone)]
+    got = by_id(digest(find(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert all(got[i].spans == got[1000 + i].spans for i in range(len(alone)))
+    chosen = {x for i, x in enumerate(spelled) if got[i].spans}
+    assert {"jane at example [dot] com", "jane at example (dot) com"} <= chosen, chosen
+
+
 def test_secrets(docs, empty, spark):
     from seqmap.llm.secrets import digest, find, redact
 
