@@ -73,6 +73,29 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def distinct_ids(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Documents with ids that name one text each, and (doc_id, own_id) to come back, or None if they are so already.
+
+    Where an id is null or has several rows, each distinct (id, text) gets a new id in the order of ids, nulls first,
+    and of the texts' hashes.
+    """
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return docs, None
+    named = docs.select(F.col("doc_id").alias("own_id"), *[c for c in docs.columns if c != "doc_id"]).withColumn("text_hash", F.xxhash64("text"))
+    order = (F.col("own_id").asc_nulls_first(), "text_hash")
+    ids = named.select("own_id", "text_hash").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    ids = scratch.save(ids.withColumn("doc_id", F.monotonically_increasing_id()), "ids")
+    same = named.own_id.eqNullSafe(ids.own_id) & (named.text_hash == ids.text_hash)
+    return named.join(ids, same).select(ids.doc_id, *[named[c] for c in docs.columns if c != "doc_id"]), ids.select("doc_id", "own_id")
+
+
+def own_ids(result: DataFrame, back: DataFrame | None) -> DataFrame:
+    """A result with the ids that `distinct_ids` replaced."""
+    if back is None:
+        return result
+    return result.join(back, "doc_id").select(F.col("own_id").alias("doc_id"), *[c for c in result.columns if c != "doc_id"])
+
+
 def text_of(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, "") if texts.null_count else texts
 
@@ -117,8 +140,25 @@ _SALTS = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
 def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE, first_bytes: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` of each row, A-Z lower-cased, and offsets of the rows in them.
 
-    Each (byte, place in the word) pair has a random value; a word's hash is their mixed sum. first_bytes: only so many bytes of a word count.
+    Each (byte, place in the word) pair has a random value; a word's hash is their mixed sum. first_bytes: only so many
+    bytes of a word count. A row longer than a step is read in parts that end between words, if it has such a place.
     """
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    if len(offsets) == 2 and hi - lo > STEP_BYTES:
+        parts, a = [], lo
+        while a < hi:
+            b = min(hi, a + STEP_BYTES)
+            while b < hi and not between[data[b]]:
+                gaps = np.flatnonzero(between[data[b : b + STEP_BYTES]])
+                b = b + int(gaps[0]) if len(gaps) else min(hi, b + STEP_BYTES)
+            parts.append(_word_hashes(data, np.array([a, b]), between, first_bytes)[0])
+            a = b
+        out = np.concatenate(parts)
+        return out, np.array([0, len(out)])
+    return _word_hashes(data, offsets, between, first_bytes)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray, first_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = int(offsets[0]), int(offsets[-1])
     raw = data[lo:hi]
     if not len(raw):
@@ -171,17 +211,6 @@ def digest(items: np.ndarray) -> int:
     return int(mix(np.array([x], np.uint64)).view(np.int64)[0])
 
 
-def hex_sha(data: bytes) -> str:
-    import hashlib
-
-    return hashlib.sha256(data).hexdigest()
-
-
-def extras(df: DataFrame, names: set[str]) -> list[str]:
-    """Columns of df that keep their name beside the given result columns."""
-    return [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
-
-
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra columns with clashing names never reach the operators."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -6,17 +6,19 @@ strings with this anchor can cover. Contexts of equal anchors are compared, no o
 
 * Contexts that are equal as a whole are repeats of the earliest one. This is found by hash, first within each task
   and then over all, so large groups of copies are thinned out before they are shuffled.
+  An anchor of very many contexts is dealt by its contexts as well, so that it fills no single task.
 * What remains are the earliest ones of different contexts of one anchor, where copies begin, end or differ. They are
   dealt to shards by anchor; in each block of a shard a suffix array is built by induced sorting, with permuted common
   prefixes, and in each run of suffixes with a common prefix of 100 bytes all but the earliest are repeats.
 * An anchor with more than HOT different contexts (a common line in many documents) would overfill a block. Its
   contexts are compared string by string instead, dealt by the string's hash.
 
-Marked strings are united to intervals for each document and cut out of it; they are judged on the input alone.
+Marked strings are united to intervals for each document and cut out of it; they are judged on the input alone. A long
+text is read in overlapping windows.
 
 Null texts are empty; texts of under 100 bytes keep all. A repeat is a string that starts earlier, at a smaller doc_id
-or earlier in the same document; rows of the same id are at the same place and no repeats of each other. Null ids come
-first and are never marked. An empty table gives no rows; extra columns are ignored.
+or earlier in the same document. Null ids come first. Rows of one id are one document if their texts are equal, and
+otherwise documents in the order of their texts' hashes. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmap.llm.common import STEP_BYTES, Scratch, bytes_of, free, mix, plain, steps
+from seqmap.llm.common import STEP_BYTES, Scratch, bytes_of, distinct_ids, free, mix, own_ids, plain, steps
 from seqmap.llm.simjoin import packed_texts
 from seqmap.llm.suffix import permuted_lcp, suffix_array
 
@@ -37,13 +39,16 @@ LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
 #: Contexts of one anchor that still go to one block.
 HOT = 1 << 15
+#: Contexts from which on an anchor is dealt by its contexts, at least; at most 1 in SALTED_SHARE of all are its share.
+#: A task only reports anchors that it holds REPORTED times or more.
+SALTED, SALTED_SHARE, REPORTED, SALTS = 1 << 11, 1 << 16, 4, 61
 BLOCK_BYTES = 1 << 21
 #: Lengths by which contexts are first compared left and right of their anchor.
 LEVELS = (9, 19, 28, 38, 47, 57, 66, WINDOW - 1)
 #: Anchors that a task holds before it sends them on.
 HELD = 1 << 21
 FOUND = "kind int, h long, ctx long, doc_id long, at long"
-MARK, ANCHOR, CAND, HOT_CAND = 0, 1, 2, 3
+MARK, ANCHOR, CAND, HOT_CAND, OFTEN, SALTED_CAND = 0, 1, 2, 3, 4, 5
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0xA5A5A5A5))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -76,9 +81,23 @@ def least_in_windows(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, anchor's hash, context's hash, packed context in the row) of a step of rows."""
-    raw = data[offsets[0] : offsets[-1]]
-    at = offsets - offsets[0]
+    """(row, anchor's hash, context's hash, packed context in the row) of a step of rows.
+
+    A row longer than a step is read in windows that overlap by all that an anchor's choice and its context need.
+    """
+    size = int(offsets[-1] - offsets[0])
+    if len(offsets) > 2 or size <= STEP_BYTES:
+        return _anchors(data[offsets[0] : offsets[-1]], offsets - offsets[0], 0, size)
+    parts = []
+    for a in range(0, size, STEP_BYTES):
+        lo, hi = max(0, a - WINDOW), min(size, a + STEP_BYTES + 2 * LENGTH)
+        row, h, ctx, at = _anchors(data[offsets[0] + lo : offsets[0] + hi], np.array([0, hi - lo]), a - lo, a - lo + STEP_BYTES)
+        parts.append((row, h, ctx, at + (lo << 24)))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def _anchors(raw: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+    """The anchors that strings with a start in [lo, hi) pick."""
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
         return none, none, none, none
@@ -90,6 +109,8 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     s = np.arange(len(least))
     ok = s + LENGTH <= at[1:][row[: len(least)]]
+    ok[:lo] = False
+    ok[hi:] = False
     picked = np.unique((least[ok] & low).astype(np.int64))
     of = row[picked]
     start = np.maximum(at[of], picked - (WINDOW - 1))
@@ -130,7 +151,12 @@ def found_anchors(docs: DataFrame) -> DataFrame:
             same_place = (doc == doc[first]) & (at == at[first])
             dup = ~new & ~same_place
             yield _batch(MARK, h[dup] * 0, h[dup] * 0, doc[dup], at[dup])
-            yield _batch(ANCHOR, h[new], ctx[new], doc[new], at[new])
+            h, ctx, doc, at = h[new], ctx[new], doc[new], at[new]
+            yield _batch(ANCHOR, h, ctx, doc, at)
+            heads = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            n = np.diff(np.append(heads, len(h)))
+            heads, n = heads[n >= REPORTED], n[n >= REPORTED]
+            yield _batch(OFTEN, h[heads], n, n * 0, n * 0)
 
         for b in batches:
             data, offsets = bytes_of(b.column(1))
@@ -145,7 +171,7 @@ def found_anchors(docs: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    own = plain(docs, "doc_id", "text").where("doc_id is not null and octet_length(text) >= 100")
+    own = plain(docs, "doc_id", "text").where("octet_length(text) >= 100")
     return own.mapInArrow(run, FOUND)
 
 
@@ -153,15 +179,16 @@ def compared(anchors: DataFrame) -> DataFrame:
     """Marks of contexts seen before, and the earliest ones of an anchor's different contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_h, hot, kept = None, False, []  # the open anchor's first contexts so far
+        open_h, kind, kept = None, CAND, []  # the open anchor's first contexts so far
         last_ctx, first_place = None, (None, None)  # of the open context
 
         def close() -> Iterator[pa.RecordBatch]:
-            if hot or len(kept) > 1:
-                yield _batch(HOT_CAND if hot else CAND, np.full(len(kept), open_h), np.zeros(len(kept), np.int64), np.array([k[0] for k in kept], np.int64), np.array([k[1] for k in kept], np.int64))
+            if kept and (kind != CAND or len(kept) > 1):
+                yield _batch(kind, np.full(len(kept), open_h), np.zeros(len(kept), np.int64), np.array([k[0] for k in kept], np.int64), np.array([k[1] for k in kept], np.int64))
 
         for b in batches:
-            h, ctx, doc, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            h, ctx, doc, at = (c.to_numpy(zero_copy_only=False) for c in b.columns[:4])
+            salted = b.column(4).to_numpy(zero_copy_only=False)
             n = len(h)
             if not n:
                 continue
@@ -178,36 +205,47 @@ def compared(anchors: DataFrame) -> DataFrame:
             sizes = np.bincount(group, minlength=int(group[-1]) + 1 if len(group) else 1)
             going = firsts[group == 0]
             kept += list(zip(doc[going].tolist(), at[going].tolist()))
-            if len(kept) > HOT:
-                hot = True
-            if hot and kept:
+            if kind == CAND and len(kept) > HOT:
+                kind = HOT_CAND
+            if kind != CAND:
                 yield from close()
                 kept = []
             if len(group) and group[-1] > 0:
-                if not hot:
-                    yield from close()
-                inner = firsts[(group > 0) & (group < group[-1]) & (sizes[group] > 1)]
+                yield from close()
+                inner = firsts[(group > 0) & (group < group[-1]) & ((sizes[group] > 1) | salted[firsts])]
                 if len(inner):
-                    size = sizes[np.cumsum(new_h[firsts])][np.searchsorted(firsts, inner)]
-                    kind = np.where(size > HOT, HOT_CAND, CAND).astype(np.int32)
-                    yield _batch(kind, h[inner], h[inner] * 0, doc[inner], at[inner])
+                    size = sizes[group][np.searchsorted(firsts, inner)]
+                    kinds = np.where(salted[inner], SALTED_CAND, np.where(size > HOT, HOT_CAND, CAND)).astype(np.int32)
+                    yield _batch(kinds, h[inner], h[inner] * 0, doc[inner], at[inner])
                 tail = firsts[group == group[-1]]
-                open_h, hot, kept = h[tail[0]], False, list(zip(doc[tail].tolist(), at[tail].tolist()))
-        if not hot:
-            yield from close()
-        elif kept:
-            yield from close()
-
-    dealt = anchors.where(F.col("kind") == ANCHOR).select("h", "ctx", "doc_id", "at").repartition(F.col("h")).sortWithinPartitions("h", "ctx", "doc_id", "at")
+                open_h, kind, kept = h[tail[0]], SALTED_CAND if salted[tail[0]] else CAND, list(zip(doc[tail].tolist(), at[tail].tolist()))
+        yield from close()
+
+    own = anchors.where(F.col("kind") == ANCHOR).select("h", "ctx", "doc_id", "at")
+    often = anchors.where(F.col("kind") == OFTEN).groupBy("h").agg(F.sum("ctx").alias("n"))
+    total = own.count()
+    # at most SALTED_SHARE anchors have so large a share of all
+    often = often.where(F.col("n") >= max(SALTED, total // SALTED_SHARE)).select("h", F.lit(True).alias("salted"))
+    own = own.join(F.broadcast(often), "h", "left").withColumn("salted", F.coalesce("salted", F.lit(False)))
+    salt = F.when(F.col("salted"), F.pmod("ctx", F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = own.repartition(F.col("h"), salt).sortWithinPartitions("h", "ctx", "doc_id", "at")
     return dealt.mapInArrow(run, FOUND)
 
 
+def candidates(found: DataFrame) -> DataFrame:
+    """(h, hot, doc_id, at) of the contexts to compare; of a salted anchor all parts are counted together."""
+    whole = found.where(F.col("kind").isin(CAND, HOT_CAND)).select("h", (F.col("kind") == HOT_CAND).alias("hot"), "doc_id", "at")
+    salted = found.where(F.col("kind") == SALTED_CAND).select("h", "doc_id", "at")
+    sizes = salted.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # at most SALTED_SHARE anchors
+    return whole.union(salted.join(F.broadcast(sizes), "h").select("h", F.col("n") > HOT, "doc_id", "at"))
+
+
 CONTEXT = "h long, hot boolean, doc_id long, start long, left int, bytes binary"
 
 
 def contexts(docs: DataFrame, cands: DataFrame) -> DataFrame:
     """The bytes of candidates; those of a document are cut out of its text together."""
-    wanted = cands.groupBy("doc_id").agg(F.collect_list(F.struct("h", (F.col("kind") == HOT_CAND).alias("hot"), "at")).alias("cuts"))  # bounded by the document
+    wanted = cands.groupBy("doc_id").agg(F.collect_list(F.struct("h", "hot", "at")).alias("cuts"))  # bounded by the document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -256,11 +294,11 @@ def repeats_in_block(texts: list[bytes], docs: np.ndarray, starts: np.ndarray) -
     sizes = np.array([len(t) for t in texts], np.int64)
     s = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     ends = np.cumsum(sizes + 1) - 1
-    symbols = s.astype(np.int64) + 2
-    symbols[ends] = 1
+    symbols = s.astype(np.int64) + len(texts) + 1
+    symbols[ends] = np.arange(1, len(texts) + 1)  # each end is a letter of its own, so no common prefix goes over it
     symbols = np.append(symbols, 0)
-    sa = suffix_array(symbols, 258)
-    plcp = permuted_lcp(symbols, sa, LENGTH)
+    sa = suffix_array(symbols, len(texts) + 257)
+    plcp = permuted_lcp(symbols, sa)
     begin = ends - sizes
     of = np.repeat(np.arange(len(texts)), sizes + 1)
     whole = np.append(np.arange(len(s)) + LENGTH <= ends[of], False)
@@ -330,19 +368,26 @@ def by_string(found: DataFrame) -> DataFrame:
             sizes = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum(sizes)
             sums = prefix_sums(np.frombuffer(b"".join(texts), np.uint8))
-            of = np.repeat(np.arange(len(texts)), np.maximum(sizes - LENGTH + 1, 0))
-            begin = (ends - sizes)[of]
-            s = np.arange(len(of)) - np.repeat(np.cumsum(np.maximum(sizes - LENGTH + 1, 0)) - np.maximum(sizes - LENGTH + 1, 0), np.maximum(sizes - LENGTH + 1, 0))
-            key = spans_hash(sums, begin + s, begin + s + LENGTH).view(np.int64)
+            n = np.maximum(sizes - LENGTH + 1, 0)
+            of = np.repeat(np.arange(len(texts)), n)
+            s = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            begin = (ends - sizes)[of] + s
+            key = spans_hash(sums, begin, begin + LENGTH).view(np.int64)
             doc, at = b.column(0).to_numpy()[of], b.column(1).to_numpy()[of] + s
             order = np.lexsort((at, doc, key))
             key, doc, at = key[order], doc[order], at[order]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at)], names=["key", "doc_id", "start"])
+            new = np.append(True, key[1:] != key[:-1])[: len(key)]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            later = (doc != doc[first]) | (at != at[first])
+            keep = new | later
+            yield pa.RecordBatch.from_arrays([pa.array(later[keep]), pa.array(key[keep]), pa.array(doc[keep]), pa.array(at[keep])], names=["later", "key", "doc_id", "start"])
 
-    each = found.where("hot").select("doc_id", "start", "bytes").mapInArrow(run, "key long, doc_id long, start long").distinct()
-    first = each.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = each.join(first, "key").where("struct(doc_id, start) > first")
-    return later.select("doc_id", F.expr(f"shiftleft(start, 24) | {LENGTH}L").alias("at"))
+    each = found.where("hot").select("doc_id", "start", "bytes").mapInArrow(run, "later boolean, key long, doc_id long, start long")
+    place = F.struct("doc_id", "start")
+    # what a task has thinned out is marked whatever the others hold; a key has no more rows left than there are batches
+    kept = each.where("not later").groupBy("key").agg(F.min(place).alias("first"), F.collect_set(place).alias("all")).where("size(all) > 1")
+    later = kept.select(F.explode("all").alias("p"), "first").where("p > first").select("p.doc_id", "p.start")
+    return each.where("later").select("doc_id", "start").union(later).select("doc_id", F.expr(f"shiftleft(start, 24) | {LENGTH}L").alias("at"))
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -350,7 +395,7 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     near = scratch.save(found_anchors(docs), "anchors")
     found = scratch.save(compared(near), "compared")
     free(docs.sparkSession)
-    cut = scratch.save(contexts(docs, found.where(F.col("kind") >= CAND)), "contexts")
+    cut = scratch.save(contexts(docs, candidates(found)), "contexts")
     free(docs.sparkSession)
     marks = near.union(found).where(F.col("kind") == MARK).select("doc_id", "at").union(sharded(cut)).union(by_string(cut))
     marks = scratch.save(marks.groupBy("doc_id").agg(F.collect_list("at").alias("cuts")), "marks")  # bounded by the document
@@ -396,14 +441,15 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
                 rows.append((doc, len(raw), n, k, hashlib.sha256(left).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marks = repeats(docs, scratch)
-    return packed_texts(docs).join(marks, "doc_id", "left").mapInArrow(run, RESULT)
+    own, back = distinct_ids(plain(docs, "doc_id", "text"), scratch)
+    marks = repeats(own, scratch)
+    return own_ids(packed_texts(own).join(marks, "doc_id", "left").mapInArrow(run, RESULT), back)
 
 
 def dedup_docs(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The documents with repeats cut out of their texts; the bytes of characters that a cut splits go, too."""
     scratch = scratch or Scratch(docs.sparkSession, "dedup")
-    own = plain(docs, "doc_id", "text", "lang", "source", "n_chars")
+    own, back = distinct_ids(plain(docs, "doc_id", "text", "lang", "source", "n_chars"), scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -417,4 +463,5 @@ def dedup_docs(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2), b.column(3), pa.array(sizes, pa.int64())], names=["doc_id", "text", "lang", "source", "n_chars"])
 
     marks = repeats(own, scratch)
-    return own.join(marks, "doc_id", "left").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"), "cuts").mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = own.join(marks, "doc_id", "left").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"), "cuts")
+    return own_ids(kept.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long"), back)

@@ -122,8 +122,9 @@ def test_suffix_dedup(docs, empty, monkeypatch):
 
     df, plain = docs
     want = brute.dedup(plain)
-    for hot, block in ((dedup.HOT, dedup.BLOCK_BYTES), (2, 4000)):
-        run = {**{"HOT": hot, "BLOCK_BYTES": block}}
+    small = {"HOT": 2, "BLOCK_BYTES": 4000}
+    salted = {"SALTED": 3, "SALTED_SHARE": 1 << 30, "REPORTED": 1, "SALTS": 3}
+    for run in ({}, small, salted, {**small, **salted}, {"STEP_BYTES": 700}):
         for k, v in run.items():
             monkeypatch.setattr(dedup, k, v)
         got = {i: tuple(r)[1:] for i, r in by_id(dedup.dedup(df)).items()}
@@ -133,15 +134,31 @@ def test_suffix_dedup(docs, empty, monkeypatch):
     assert all(len((cut[i].text or "").encode()) <= n - gone for i, (n, gone, _, _) in want.items())
 
 
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    from seqmap.llm import dedup
+
+    a, b, c = prose(60), prose(60), prose(30)
+    rows = [(None, a), (None, b), (3, b + " " + c), (3, c + "! " + a), (3, c + "! " + a), (9, a)]
+    texts = {k: t for k, t in enumerate(sorted({(-1 if i is None else i, t) for i, t in rows}))}
+    hashes = {t: h for t, h in spark.createDataFrame([(t,) for _, t in set(rows)], "t string").select("t", F.xxhash64("t")).collect()}
+    order = sorted({(-1 if i is None else i, hashes[t], t) for i, t in rows})
+    want = brute.dedup({k: t for k, (_, _, t) in enumerate(order)})
+    place = {(i, t): k for k, (i, _, t) in enumerate(order)}
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), *tuple(r)[1:]) for r in dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(((-1 if i is None else i), *want[place[-1 if i is None else i, t]]) for i, t in rows) and len(texts) == 5
+
+
 def test_suffix_array():
     from seqmap.llm.suffix import permuted_lcp, suffix_array
 
     r = random.Random(2)
-    for _ in range(150):
-        s = np.array([r.randint(1, 3) for _ in range(r.randint(1, 60))] + [0])
-        sa = suffix_array(s, 4).tolist()
+    for t in range(250):
+        most = r.choice([2, 3, 60, 90_000])
+        s = [r.randint(1, most) for _ in range(r.randint(1, r.choice([6, 60, 200])))]
+        s = np.array((s * 3 if t % 3 == 0 else s) + [0])
+        sa = suffix_array(s, most + 1).tolist()
         assert sa == sorted(range(len(s)), key=lambda i: s[i:].tolist())
-        lcp = permuted_lcp(s, np.array(sa), 100)
+        lcp = permuted_lcp(s, np.array(sa))
         for a, b in zip(sa, sa[1:]):
             n = 0
             while s[a + n] == s[b + n]:
@@ -149,6 +166,34 @@ def test_suffix_array():
             assert lcp[b] == n
 
 
+def test_suffixes_are_induced_at_every_depth():
+    from seqmap.llm.suffix import suffix_array
+
+    r = np.random.default_rng(4)
+    words = [r.integers(3, 29, int(n)) for n in r.integers(2, 10, 4000)]
+    s = np.concatenate([words[i] for i in r.integers(0, 4000, 400_000)])[:2_000_000]
+    s, depth = np.append(s, 0), []
+    sa = suffix_array(s, 30, depth)
+    assert len(depth) > 2 and all(2 * b <= a for a, b in zip(depth, depth[1:])) and depth[1] > 400_000
+    rank = np.empty(len(s), np.int64)
+    rank[sa] = np.arange(len(s))
+    # in order by the first letter, and by the next suffix where that is equal
+    a, b = sa[:-1], sa[1:]
+    assert np.array_equal(np.sort(sa), np.arange(len(s)))
+    assert ((s[a] < s[b]) | ((s[a] == s[b]) & (rank[np.minimum(a + 1, len(s) - 1)] < rank[np.minimum(b + 1, len(s) - 1)])))[1:].all()
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 1_000_000 + "b", "\t" * 1_000_000, "a" * 1_000_000, "<|endoftext|>" * 3, "\n" * 1999 + "é"])
+def test_packing_of_long_runs(spark, text):
+    from seqmap.llm.packing import Ids, pack
+
+    path = tok.path("byte_bpe_50k.json")
+    rows = pack(spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string").coalesce(1), path, tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN).where("doc_id = 1").collect()
+    ids = Ids(path, None, "")(text)
+    assert sum(r.length for r in rows) == rows[0].doc_tokens == len(ids)
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows)
+
+
 def test_packing(docs, empty):
     from seqmap.llm.packing import TIERS, Ids, pack
 
