@@ -38,7 +38,7 @@ from seqmap.llm.suffix import permuted_lcp, suffix_array
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
 #: Contexts of one anchor that still go to one block.
-HOT = 1 << 15
+HOT = 1 << 12
 #: Contexts from which on an anchor is dealt by its contexts, at least; at most 1 in SALTED_SHARE of all are its share.
 #: A task only reports anchors that it holds REPORTED times or more.
 SALTED, SALTED_SHARE, REPORTED, SALTS = 1 << 11, 1 << 16, 4, 61

@@ -11,8 +11,11 @@ groups come to floor(n / 4) + 1. The number of groups must be the same for both
 two below the larger one's size; a set that may meet larger ones of the next power has a prefix for each. The result
 is exact: there are no caps, and candidates are verified on whole sets.
 
-Frequencies come from a count sketch of fixed size over all documents. An error in it changes the order and the
-class of a token for all documents alike, so it costs time but never a link.
+A token is frequent if at least `limit` different sets have it, counted exactly over the tasks that hold it more than
+once; the limit is FREQUENT, or the next power of two at which at most MOST_FREQUENT tokens are. So lists of single
+tokens are short at every size of the table, whatever the sketch says: a count sketch of fixed size over all documents
+only gives the order among rare tokens. An error in either changes order or class for all documents alike, so it costs
+time but never a link.
 
 Equal sets are one entity (a 64-bit digest; two different ones fall together with probability n^2 / 2^65), so copies
 are never paired. Of the entities that share a signature, rounds first compare each with one pivot,
@@ -25,8 +28,9 @@ other one's set has behind that end (`rest`). Sets that reach too little likenes
 of one size that were each changed too much never pair up. A token that only a longer partner's prefix leaves out is
 never taken as missing.
 
-Null or wordless texts have the empty set, are linked with nothing and are their own component. Rows of null id get a
-component as any other; repeated rows repeat their result; an empty table gives no rows; extra columns are ignored.
+Null or wordless texts have the empty set, are linked with nothing and are their own component. Rows of null id are
+linked as any other; a component of such rows alone has a null id. Rows of one id and different texts are documents of
+their own. Repeated rows repeat their result; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +42,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmap.llm.common import Scratch, bytes_of, digest, free, mix, plain, shingle_sets, steps
-from seqmap.llm.graph import components
+from seqmap.llm.common import Scratch, bytes_of, digest, distinct_ids, free, mix, plain, shingle_sets, steps
+from seqmap.llm.graph import beside, components
 
 SKETCH_BITS, DEPTH, BLOCK = 18, 2, 1 << 16
+#: Sets that have a token from which on it is frequent; how many frequent tokens are sent to all tasks at most; how often
+#: a task must meet a token to report it, and the tokens that it counts together.
+FREQUENT, MOST_FREQUENT, REPORTED, POOL = 64, 1 << 20, 2, 1 << 21
+#: Members of a component that one task meets at once.
+SPLIT = 1 << 12
 ROUNDS = 1
 ENTITY = "doc_id long, n int, ent long, block int, counts binary"
 #: The most tokens that an entity and its partner p_ may share behind the prefix that ends first; one that has all its
@@ -59,25 +68,47 @@ def _places(tokens: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """A row for each document, and each task's blocks of the sketch (rows with a block)."""
+    """A row for each document; each task's blocks of the sketch (block >= 0); tokens and in how many sets (block -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sketch = np.zeros((DEPTH, 1 << SKETCH_BITS), np.uint32)
         names = [f.split()[0] for f in ENTITY.split(", ")]
+        seen: set[int] = set()
+        pool: list[np.ndarray] = []
+        held = 0
+
+        def reported() -> pa.RecordBatch:
+            each, n = np.unique(np.concatenate(pool), return_counts=True)
+            each, n = each[n >= REPORTED], n[n >= REPORTED]
+            pool.clear()
+            k = len(n)
+            return pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(n, pa.int32()), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())], names=names)
+
         for b in batches:
             data, offsets = bytes_of(b.column(1))
             n, ent = [], []
             for i, j in steps(offsets):
                 sets = shingle_sets(data, offsets[i : j + 1])
+                ents = [digest(s) for s in sets]
                 n += [len(s) for s in sets]
-                ent += [digest(s) for s in sets]
+                ent += ents
                 every = np.concatenate(sets)
                 for d, at in enumerate(_places(every)):
                     sketch[d] += np.bincount(at, minlength=1 << SKETCH_BITS).astype(np.uint32)
+                for s, e in zip(sets, ents):
+                    if e not in seen:
+                        seen.add(e)
+                        pool.append(s)
+                        held += len(s)
+                if held >= POOL:
+                    yield reported()
+                    held = 0
             k = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(ent, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+        if held:
+            yield reported()
         parts = sketch.reshape(-1, BLOCK)
         salt = TaskContext.get().partitionId() % 64
         k = len(parts)
@@ -86,6 +117,20 @@ def entities(docs: DataFrame) -> DataFrame:
     return plain(docs, "doc_id", "text").mapInArrow(run, ENTITY)
 
 
+def frequent_tokens(first: DataFrame) -> np.ndarray:
+    """The sorted frequent tokens, at most MOST_FREQUENT."""
+    counts = first.where("block = -1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    power = F.floor(F.log2(F.col("n") / FREQUENT)).cast("int")
+    limit, total = FREQUENT << 40, 0
+    for r in counts.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.desc("p")).collect():  # one row for each power of two
+        total += r.tokens
+        if total > MOST_FREQUENT:
+            break
+        limit = FREQUENT << r.p
+    got = counts.where(F.col("n") >= limit).select("token").toArrow().column(0).combine_chunks()
+    return np.sort(got.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
 def summed(blocks: DataFrame, *keys: str) -> DataFrame:
     """Adds up blocks(salt, block, counts) by the keys in a stream; a task holds one array for each key it has."""
 
@@ -102,15 +147,15 @@ def summed(blocks: DataFrame, *keys: str) -> DataFrame:
     return blocks.repartition(*keys).mapInArrow(run, "salt long, block int, counts binary")
 
 
-def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The signatures of one set, whether each is a combination of frequent tokens, and their costs.
+def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures of one set, whether each is a combination of frequent tokens (`often`), and their costs.
 
     A signature's cost is the number of missing tokens that a prefix which just has it rules out, and one.
     """
     n = len(tokens)
     need = n // 4 + 1
-    order = np.lexsort((tokens, counts))
-    t, rare = tokens[order], int(np.count_nonzero(counts < limit))
+    order = np.lexsort((tokens, counts, often))
+    t, rare = tokens[order], n - int(np.count_nonzero(often))
     if rare >= need:
         return t[:need], np.zeros(need, bool), np.arange(1, need + 1)
     single, combined, costs = [t[:rare]], [], [np.arange(1, rare + 1)]
@@ -139,12 +184,18 @@ def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, limit: int) -> tup
     return np.concatenate([*single, pairs]), np.append(np.zeros(rare, bool), np.ones(len(pairs), bool)), np.concatenate(costs)
 
 
-def signatures(docs: DataFrame, sketch: np.ndarray, limit: int) -> DataFrame:
+def member_of(tokens: np.ndarray, some: np.ndarray) -> np.ndarray:
+    if not len(some):
+        return np.zeros(len(tokens), bool)
+    return some[np.minimum(np.searchsorted(some, tokens), len(some) - 1)] == tokens
+
+
+def signatures(docs: DataFrame, sketch: np.ndarray, frequent: np.ndarray) -> DataFrame:
     """(sig, ent, n, frequent) of each distinct set of a task."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)  # DEPTH << SKETCH_BITS counters
+    sent = docs.sparkSession.sparkContext.broadcast((sketch, frequent))  # DEPTH << SKETCH_BITS counters, MOST_FREQUENT tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, seen = sent.value, set()
+        (counters, heavy), seen = sent.value, set()
         for b in batches:
             data, offsets = bytes_of(b.column(0))
             for i, j in steps(offsets):
@@ -155,7 +206,7 @@ def signatures(docs: DataFrame, sketch: np.ndarray, limit: int) -> DataFrame:
                         continue
                     seen.add(ent)
                     counts = np.minimum.reduce([counters[d][at] for d, at in enumerate(_places(s))])
-                    x, y, cost = prefix_signatures(s, counts, limit)
+                    x, y, cost = prefix_signatures(s, counts, member_of(s, heavy))
                     sigs.append(x)
                     freq.append(y)
                     ents.append(ent)
@@ -169,7 +220,7 @@ def signatures(docs: DataFrame, sketch: np.ndarray, limit: int) -> DataFrame:
 
 
 def shared_rare(sigs: DataFrame) -> DataFrame:
-    """The rows of rare signatures that two entities or more have; such a signature has fewer rows than the class limit."""
+    """The rows of rare signatures that two entities or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
@@ -253,10 +304,9 @@ def apart(live: DataFrame, shared: DataFrame, comp: DataFrame, scratch: Scratch,
     whole: members that share none are compared too, which changes nothing. The others are met in the signatures.
     Bounds of the members' sizes keep out whom no member can be near to.
     """
-    own = shared.select("ent", "n", "got", "rest").distinct().join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left")
-    own = own.select("ent", "n", "got", "rest", F.coalesce("root", "ent").alias("c"))
-    sizes = own.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    left = scratch.keep(live.join(sizes, "c"), "left")
+    own = shared.select("ent", "n", "got", "rest").distinct().join(comp.select(F.col("node").alias("ent"), "root", "size"), "ent", "left")
+    own = own.select("ent", "n", "got", "rest", F.coalesce("root", "ent").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
+    left = scratch.keep(live, "left")
     most = lambda x: F.max(F.expr(f"7 * ({x}) - 3 * n"))
     bounds = (F.min("n").alias("lo_n"), F.max("n").alias("hi_n"), most("got").alias("hi_got"), most("rest").alias("hi_rest"), most("got + rest").alias("hi_both"), F.min("cost").alias("lo_cost"))
     there = left.groupBy("sig", F.col("c").alias("p_c"), F.col("size").alias("p_size")).agg(F.count(F.lit(1)).alias("rows"), *bounds)
@@ -266,7 +316,11 @@ def apart(live: DataFrame, shared: DataFrame, comp: DataFrame, scratch: Scratch,
     towards = scratch.keep(towards, "towards")
     big = towards.groupBy("p_c", "p_size").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("met")).where("rows > met * p_size").select("p_c")
     other = lambda df, *cols: df.select(*cols, *[F.col(x).alias(f"p_{x}") for x in ("ent", "n", "got", "rest", "c")])
-    whole = towards.join(big, "p_c", "left_semi").join(other(own), "p_c").where(near)
+    # members of a large component are dealt to parts, and each entity that meets it goes to all of them
+    parts = lambda size: F.floor((size - 1) / SPLIT) + 1
+    meeting = towards.join(big, "p_c", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts(F.col("p_size")) - 1)))
+    members = other(own, F.pmod(F.xxhash64("ent"), parts(F.col("size"))).alias("part"))
+    whole = meeting.join(members, ["p_c", "part"]).where(near)
     rest = other(left, "sig", F.col("size").alias("p_size"), F.col("cost").alias("p_cost")).join(big, "p_c", "left_anti")
     single = left.join(rest, "sig").where(smaller & near & early)
     cols = ("ent", "n", "got", "rest", "p_ent", "p_n", "p_got", "p_rest")
@@ -277,31 +331,30 @@ def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     """documents(doc_id, text) -> doc_id, n_shingles, component_id, ent (equal for equal sets)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "simjoin")
-    first = scratch.keep(entities(docs), "entities")
-    blocks = first.where("block is not null").select(F.col("doc_id").alias("salt"), "block", "counts")
+    docs, back = distinct_ids(plain(docs, "doc_id", "text"), scratch)
+    first = scratch.save(entities(docs), "entities")
+    blocks = first.where("block >= 0").select(F.col("doc_id").alias("salt"), "block", "counts")
     got = summed(summed(blocks, "block", "salt"), "block").select("block", "counts").collect()  # the sketch: fixed size
     sketch = np.zeros((DEPTH << SKETCH_BITS) // BLOCK * BLOCK, np.uint32).reshape(-1, BLOCK)
     for r in got:
         sketch[r.block] = np.frombuffer(r.counts, np.uint32)
     sketch = sketch.reshape(DEPTH, -1)
-    limit = 2 * int(sketch[0].mean(dtype=np.float64)) + 256
 
     rows = first.where("block is null").select("doc_id", "n", "ent")
     ents = scratch.keep(rows.where("n > 0").groupBy("ent").agg(F.min("doc_id").alias("doc_id")), "ents")
-    sigs = scratch.keep(signatures(docs, sketch, limit), "signatures")
+    sigs = scratch.keep(signatures(docs, sketch, frequent_tokens(first)), "signatures")
     frequent = sigs.where("frequent").select("sig", "ent", "n", "weight")
     often = scratch.keep(frequent.groupBy("sig").agg(F.min("ent").alias("lo"), F.max("ent").alias("hi")).where("lo <> hi").select("sig"), "often")
     rare = shared_rare(sigs)
     both = rare.withColumn("one", F.lit(1)).unionByName(frequent.join(often, "sig").select("sig", "ent", "n", "weight", F.lit(0).alias("one")))
     both = scratch.keep(both, "both")
     ahead = both.groupBy("ent").agg(F.sum("one").cast("int").alias("got"), (F.first("n") - F.shiftright(F.first("weight"), 32)).cast("int").alias("rest"))
-    files = 1 + ents.count() // 32768
-    shared = scratch.save(both.select("sig", "ent", "n", F.expr("cast(weight & 4294967295 as int)").alias("cost")).join(ahead, "ent").select("sig", "ent", "n", "got", "rest", "cost"), "shared", files)
+    shared = scratch.save(both.select("sig", "ent", "n", F.expr("cast(weight & 4294967295 as int)").alias("cost")).join(ahead, "ent").select("sig", "ent", "n", "got", "rest", "cost"), "shared")
     scratch.drop("signatures", "often", "both")
     del sigs, frequent, often, rare, both, ahead
     free(spark)
     need = ents.join(shared.select("ent").distinct(), "ent", "left_semi")
-    texts = scratch.save(packed_texts(docs).join(need, "doc_id").select("ent", "z"), "texts", 2 * files)
+    texts = scratch.save(packed_texts(docs).join(need, "doc_id").select("ent", "z"), "texts")
     free(spark)
 
     comp = None
@@ -310,9 +363,9 @@ def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     # a pair of like sizes shares a signature in prefixes that are shorter than those for the least partner
     early = F.expr("cost <= n - (3 * (n + p_n) + 6) div 7 + 1 and p_cost <= p_n - (3 * (n + p_n) + 6) div 7 + 1")
     for k in range(ROUNDS + 1):
-        live = shared.withColumn("c", F.col("ent"))
+        live = shared.withColumns({"c": F.col("ent"), "size": F.lit(1).cast("long")})
         if comp is not None:
-            live = shared.join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left").select(*shared.columns, F.coalesce("root", "ent").alias("c"))
+            live = shared.join(comp.select(F.col("node").alias("ent"), "root", "size"), "ent", "left").select(*shared.columns, F.coalesce("root", "ent").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
         pick = F.min(F.struct(F.expr("n - rest - got").alias("alone"), F.xxhash64("ent", F.lit(k)).alias("h"), "ent", "n", "got", "rest", "cost", "c")).alias("p")
         pivots = live.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pick).where("lo <> hi")
         pivots = scratch.keep(pivots.select("sig", F.col("p.ent").alias("p_ent"), F.col("p.n").alias("p_n"), F.col("p.got").alias("p_got"), F.col("p.rest").alias("p_rest"), F.col("p.cost").alias("p_cost"), F.col("p.c").alias("p_c")), f"pivots_{k}")
@@ -321,19 +374,20 @@ def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
         else:
             pairs = apart(live.join(pivots.select("sig"), "sig", "left_semi"), shared, comp, scratch, near, early)
         pairs = pairs.where(near).select(F.least("ent", "p_ent").alias("a"), F.greatest("ent", "p_ent").alias("b")).distinct()
-        judged = scratch.keep(verify(pairs, texts), f"judged_{k}")
+        judged = scratch.save(verify(pairs, texts), f"judged_{k}")
         new = judged.where("linked").select("a", "b")
         known += new.count()
         links = new if comp is None else comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
-        comp = components(links, scratch, f"comp_{k}", known)
+        comp = beside(components(links, scratch, f"comp_{k}", known), "root", F.count(F.lit(1)), "size")
         # the components are written, so what they came from may go
         scratch.drop(f"pivots_{k}", f"judged_{k}", "left", "towards")
         live = pivots = pairs = judged = new = links = None
         free(spark)
 
+    if back is not None:
+        rows = rows.join(back, "doc_id").select(F.col("own_id").alias("doc_id"), "n", "ent")
+        ents = rows.where("n > 0").groupBy("ent").agg(F.min("doc_id").alias("doc_id"))
     member = ents.join(comp.select(F.col("node").alias("ent"), "root"), "ent", "left").select("ent", "doc_id", F.coalesce("root", "ent").alias("root"))
-    member = scratch.keep(member, "member")
-    tops = scratch.keep(member.groupBy("root").agg(F.min("doc_id").alias("top")), "tops")
-    ends = scratch.keep(member.join(tops, "root").select("ent", "top"), "ends")
-    out = rows.join(ends, "ent", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("top", "doc_id").alias("component_id"), "ent")
-    return out
+    ends = scratch.save(beside(scratch.save(member, "member"), "root", F.min("doc_id"), "top").select("ent", "top"), "ends")
+    scratch.drop("ents", "texts", "shared")
+    return rows.join(ends, "ent", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("top", "doc_id").alias("component_id"), "ent")

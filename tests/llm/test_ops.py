@@ -52,13 +52,13 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-@pytest.mark.parametrize("limit", [None, 3])
+@pytest.mark.parametrize("limit", [None, 2])
 def test_ngram_join(docs, empty, monkeypatch, limit):
     from seqmap.llm import graph, simjoin
 
     if limit:  # nearly all tokens frequent, so that combinations are used, and links joined in rounds of stars
-        whole = simjoin.prefix_signatures
-        monkeypatch.setattr(simjoin, "prefix_signatures", lambda t, c, _: whole(t, c, 2))
+        monkeypatch.setattr(simjoin, "FREQUENT", limit)
+        monkeypatch.setattr(simjoin, "SPLIT", 2)
         monkeypatch.setattr(graph, "LOCAL_LINKS", 0)
         monkeypatch.setattr(graph.components, "__defaults__", (0,))
     df, plain = docs
@@ -81,8 +81,7 @@ def test_ngram_join_of_extended_and_truncated_copies(spark, monkeypatch, limit):
     from seqmap.llm import simjoin
 
     if limit:
-        whole = simjoin.prefix_signatures
-        monkeypatch.setattr(simjoin, "prefix_signatures", lambda t, c, _: whole(t, c, limit))
+        monkeypatch.setattr(simjoin, "FREQUENT", limit)
     r = random.Random(5)
     plain = {}
     for i in range(60):
@@ -97,6 +96,36 @@ def test_ngram_join_of_extended_and_truncated_copies(spark, monkeypatch, limit):
     assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == want
 
 
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    from seqmap.llm.simjoin import near_components
+
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(None, a), (4, b), (4, a + " more"), (7, b), (7, b), (None, c), (8, c + " x"), (None, prose(9)), (9, ""), (None, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    n = lambda t: len(brute.shingles(t))
+    top = [4, 4, 4, 4, 4, 8, 8, None, 9, None]
+    assert got == sorted(((i, n(t), k) for (i, t), k in zip(rows, top)), key=str)
+
+
+def test_frequent_tokens_are_combined(spark):
+    from seqmap.llm import simjoin
+
+    r = random.Random(12)
+    words = prose(100, r).split(" ")
+    plain = {i: " ".join(r.choice(WORDS) if r.random() < 0.01 else w for w in words) for i in range(150)}
+    df = spark.createDataFrame(list(plain.items()), "doc_id long, text string").repartition(2)
+    often = simjoin.frequent_tokens(simjoin.entities(df))
+    counts = {}
+    for t in plain.values():
+        for x in simjoin.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist():
+            counts[x] = counts.get(x, 0) + 1
+    assert set(often.tolist()) == {x for x, n in counts.items() if n >= simjoin.FREQUENT} and len(often) > 50
+    sketch = np.zeros((simjoin.DEPTH, 1 << simjoin.SKETCH_BITS), np.uint32)
+    sigs = simjoin.signatures(df, sketch, often)
+    assert sigs.where("frequent").count() > 1000
+    assert {i: (x.n_shingles, x.component_id) for i, x in by_id(simjoin.near_components(df)).items()} == brute.components(plain)
+
+
 def test_prefixes_share_a_signature_whenever_sets_are_near():
     from seqmap.llm.simjoin import prefix_signatures
 
@@ -112,7 +141,8 @@ def test_prefixes_share_a_signature_whenever_sets_are_near():
             need = -(-3 * (len(a) + len(b)) // 7)
             found = []
             for s in (a, b):
-                sigs, _, cost = prefix_signatures(s, np.array([counts[int(t)] for t in s]), 10)
+                c = np.array([counts[int(t)] for t in s])
+                sigs, _, cost = prefix_signatures(s, c, c >= 10)
                 found.append(set(sigs[cost <= len(s) - need + 1].tolist()))
             assert found[0] & found[1]
 
