@@ -1,17 +1,29 @@
 r"""Chat formatting by incremental black-box rendering.
 
-A template is any function from a list of (role, text) turns to a string. Successive prefixes of a conversation are
-rendered and each output is compared with the one before: what is new is the turn's span; if the old output is not a
-prefix of the new one, the template rewrites history and the conversation is marked so. Within a span, two probes of
-the same turn with other texts show where the text stands. Long conversations are rendered over a window of the last
-turns, and each window's whole rendering is held against the assembled spans, so that work is linear and memory
-bounded.
+A template is any function from a list of (role, text) turns to a string; nothing else is known of it. Successive turn
+prefixes of a conversation are rendered and each output is compared with the one before: what is new is the turn's
+span, and if the old output is no prefix of the new one, the template rewrites history and the conversation is marked.
+
+What stands in a span is found out by probes, which are renderings with another last turn:
+
+* Two other texts show where the text's place begins and ends.
+* The roles of the conversation, each with the span's own text, show which role the span speaks for: the one whose
+  rendering is the span itself. A role is read back only if no other known role renders the same.
+* Each distinct character of a text, put between two marks, shows how the template writes it. These written forms are
+  the template's escapes; a span's text is read back with them, longest form first.
+
+Rendering every prefix costs the square of a conversation's length. Prefixes are therefore rendered whole up to WHOLE
+turns; of a longer conversation each turn is rendered on the last CONTEXT turns, and the whole prefix is rendered
+whenever it has grown by a half, and at the end, and held against what the spans add up to. Where that differs, the
+template looks further back: the conversation's spans are then found from whole prefixes alone. So a change of history
+is found at any distance; only one that a template undoes before the next whole rendering stays unseen.
 
 The template given here marks turns with control strings and writes `\` as `\\`, `<` as `\l` and `[` as `\b` in
 texts, so that no text can hold a control string and every text comes back.
 
 Null texts and roles are empty, null turns come first, rows of the same turn are ordered by role and text. A
-conversation without rows does not exist; an empty table gives no rows; extra columns are ignored.
+conversation without rows does not exist; an empty table gives no rows; extra columns are ignored. Rows of a null
+conv_id are one conversation. A conversation is held by one task, as its rendering is.
 """
 
 from __future__ import annotations
@@ -19,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,24 +39,20 @@ from pyspark.sql import functions as F
 
 from seqmap.llm.common import plain, text_of
 
-SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
+SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean, exact boolean"
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Turns rendered as context of later ones, and turns added to it before it is cut again.
-CONTEXT, WINDOW = 4, 16
+#: Turns up to which every prefix is rendered whole; turns that later ones are rendered on.
+WHOLE, CONTEXT = 64, 6
+LEARNED = "assistant"
 
 _ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
-_BACK = {v: k for k, v in _ESCAPES.items()}
 
 
 def escape(text: str) -> str:
     return re.sub(r"[\\<\[]", lambda m: _ESCAPES[m[0]], text)
 
 
-def unescape(text: str) -> str:
-    return re.sub(r"\\[\\lb]", lambda m: _BACK[m[0]], text)
-
-
 def inst_template(turns: list[Turn]) -> str:
     out = []
     for role, text in turns:
@@ -57,40 +66,8 @@ def inst_template(turns: list[Turn]) -> str:
     return "".join(out)
 
 
-def role_of(opening: str) -> str:
-    """The role that a span's opening marker names."""
-    if opening.startswith("<s>[ROLE "):
-        return unescape(opening[len("<s>[ROLE ") : -2])
-    return "user" if opening.startswith("<s>[INST]") else "assistant"
-
-
-class Spans:
-    """Locates turns one by one: (new text, start of the text in it, its end, whether history changed)."""
-
-    def __init__(self, template: Template):
-        self.template, self.turns, self.done = template, [], ""
-        self.rewrites = False
-
-    def add(self, role: str, text: str) -> tuple[str, int, int]:
-        render = self.template
-        if len(self.turns) >= CONTEXT + WINDOW:
-            self.turns = self.turns[-CONTEXT:]
-            self.done = render(self.turns)
-        out = render([*self.turns, (role, text)])
-        base = len(self.done)
-        if not out.startswith(self.done):
-            self.rewrites = True
-            base = _common(self.done, out)
-        span = out[base:]
-        a, b = (render([*self.turns, (role, x)])[base:] for x in ("a", "b"))
-        begin = _common(a, b)
-        end = len(span) - (len(a) - begin - 1)
-        self.turns.append((role, text))
-        self.done = out
-        return span, begin, end
-
-
-def _common(a: str, b: str) -> int:
+def common(a: str, b: str) -> int:
+    """The length of the common prefix."""
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
         return n
@@ -101,45 +78,136 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-class Conversation:
-    """Digests of one conversation, read back from the spans of its formatted text."""
+class Written:
+    """How a template writes characters: learned by rendering each one between two marks."""
+
+    MARKS = "qz"
+
+    def __init__(self, template: Template):
+        self.template = template
+        self.forms: dict[str, str] = {}
+
+    def learn(self, text: str) -> None:
+        for c in set(text) - self.forms.keys():
+            a, b = self.MARKS
+            with_it, without = (self.template([("user", x)]) for x in (a + c + b, a + b))
+            at = common(with_it, without)
+            # the form stands between the marks; a form that begins like the second mark moves the border back
+            at = with_it.rfind(a, 0, at) + 1
+            form = with_it[at : len(with_it) - (len(without) - at)]
+            self.forms[c] = form
+
+    def back(self, body: str, text: str) -> str:
+        """The text that a body was written from, read with the forms of the characters met so far."""
+        self.learn(text)
+        changed = {f: c for c, f in self.forms.items() if f and f != c}
+        if not changed:
+            return body
+        return re.sub("|".join(map(re.escape, sorted(changed, key=len, reverse=True))), lambda m: changed[m[0]], body)
+
+
+@dataclass
+class Span:
+    text: str
+    begin: int
+    end: int
+    role: str
+    body: str
+    exact: bool
 
-    def __init__(self, conv: int, template: Template, keep: bool):
-        self.conv, self.spans, self.keep = conv, Spans(template), keep
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n = self.loss_chars = self.chars = 0
-        self.out: list[str] = []
-        self.mask: list[tuple[int, int]] = []
+
+class Spans:
+    """Locates the turns of one conversation, one by one."""
+
+    def __init__(self, template: Template, written: Written | None = None):
+        self.render, self.turns, self.spans = template, [], []
+        self.written = written or Written(template)
+        self.roles = ["user", "assistant", "system"]
+        self.rewrites = self.whole = False
+        self.done, self.checked = "", 0
 
     def add(self, role: str, text: str) -> None:
-        span, begin, end = self.spans.add(role, text)
-        back, named = unescape(span[begin:end]), role_of(span[:begin])
-        self.turns.update(f"{named}\n{back}\n".encode())
-        if named == "assistant":
-            self.loss.update(back.encode())
-            self.loss_chars += len(back)
-            self.mask.append((self.chars + begin, self.chars + end))
-        if self.keep:
-            self.out.append(span)
-        self.n += 1
-        self.chars += len(span)
+        if role not in self.roles:
+            self.roles.append(role)
+        whole = self.whole or len(self.turns) < WHOLE
+        before = self.turns[:] if whole else self.turns[-CONTEXT:]
+        done = self.done if whole else self.render(before)
+        out = self.render([*before, (role, text)])
+        self.turns.append((role, text))
+        base = len(done)
+        if not out.startswith(done):
+            if not whole:
+                self.start_over()
+                return
+            base, self.rewrites, self.whole = common(done, out), True, True
+        self.spans.append(self.located(before, base, out, role, text))
+        self.done = out
+        if whole:
+            self.checked = len(self.turns)
+        elif 2 * len(self.turns) >= 3 * self.checked:
+            self.check()
+
+    def located(self, before: list[Turn], base: int, out: str, role: str, text: str) -> Span:
+        span = out[base:]
+        a, b = (self.render([*before, (role, x)])[base:] for x in ("a", "b"))
+        begin = common(a, b)
+        end = max(begin, len(span) - (len(a) - begin - 1))
+        same = [r for r in self.roles if r == role or self.render([*before, (r, text)])[base:] == span]
+        back = self.written.back(span[begin:end], text)
+        return Span(span, begin, end, same[0] if len(same) == 1 else role, back, len(same) == 1 and back == text)
+
+    def check(self) -> None:
+        """Holds the whole rendering against the spans."""
+        self.checked = len(self.turns)
+        if self.render(self.turns) != "".join(s.text for s in self.spans):
+            self.start_over()
+
+    def start_over(self) -> None:
+        """Finds all spans from whole prefixes."""
+        turns, self.turns, self.spans, self.done, self.whole = self.turns, [], [], "", True
+        for role, text in turns:
+            self.add(role, text)
+
+    def end(self) -> None:
+        if self.checked < len(self.turns):
+            self.check()
+
+
+class Conversation:
+    """Digests of one conversation, read back from the spans of its formatted text."""
+
+    def __init__(self, conv: int | None, template: Template, keep: bool, written: Written):
+        self.conv, self.keep = conv, keep
+        self.spans = Spans(template, written)
 
     def row(self) -> tuple:
-        own = ("".join(self.out), [[a, b] for a, b in self.mask]) if self.keep else ()
-        return (self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.spans.rewrites, *own)
+        self.spans.end()
+        turns, loss, loss_chars, chars, mask = hashlib.sha256(), hashlib.sha256(), 0, 0, []
+        for s in self.spans.spans:
+            turns.update(f"{s.role}\n{s.body}\n".encode())
+            if s.role == LEARNED:
+                loss.update(s.body.encode())
+                loss_chars += len(s.body)
+                mask.append([chars + s.begin, chars + s.end])
+            chars += len(s.text)
+        own = ()
+        if self.keep:  # after a change of history the last rendering is the conversation, and its spans are not in it
+            own = (self.spans.render(self.spans.turns) if self.spans.rewrites else "".join(s.text for s in self.spans.spans), [] if self.spans.rewrites else mask)
+        exact = all(s.exact for s in self.spans.spans)
+        return (self.conv, len(self.spans.spans), turns.hexdigest(), loss_chars, loss.hexdigest(), chars, self.spans.rewrites, exact, *own)
 
 
 def format_chats(conversations: DataFrame, template: Template = inst_template, keep: bool = False) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> one row each; with keep, also `formatted` and `loss_spans`.
 
-    Turns of a conversation stream through one task in order, a window of them in memory.
+    exact: every role and text was read back from the rendering as it was put in.
     """
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()] + ([pa.string(), pa.list_(pa.list_(pa.int64()))] if keep else [])
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()] + ([pa.string(), pa.list_(pa.list_(pa.int64()))] if keep else [])
     schema = SCHEMA + (", formatted string, loss_spans array<array<long>>" if keep else "")
-    names = [re.split(r"[ ]", f.strip())[0] for f in schema.split(", ")]
+    names = [f.strip().split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, rows, written = None, [], Written(template)
 
         def batch() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -153,8 +221,8 @@ def format_chats(conversations: DataFrame, template: Template = inst_template, k
                         rows.append(now.row())
                     if len(rows) >= 2000:
                         yield batch()
-                    now = Conversation(conv, template, keep)
-                now.add(role, text)
+                    now = Conversation(conv, template, keep, written)
+                now.spans.add(role, text)
         if now is not None:
             rows.append(now.row())
         if rows:

@@ -368,27 +368,79 @@ def test_audio_resynchronises():
 
 
 def test_chat(spark):
-    from seqmap.llm.chat import Spans, escape, format_chats, inst_template, unescape
+    from seqmap.llm.chat import Written, format_chats, inst_template
 
-    rows = [(1, 0, "system", "be <s>[INST]\\l"), (1, 1, "user", None), (1, 2, "assistant", "[/INST] </s>"), (1, 3, "tool [x]", "r"), (2, 5, "user", "b"), (2, 5, "assistant", "a"), (3, 0, "user", "")]
-    rows += [(4, i, "assistant" if i % 2 else "user", f"turn {i} \\b<") for i in range(70)]
+    rows = [(1, 0, "system", "be <s>[INST]\\l"), (1, 1, "user", None), (1, 2, "assistant", "[/INST] </s>"), (1, 3, "tool [x]", "r"), (2, 5, "user", "b"), (2, 5, "assistant", "a"), (3, 0, "user", ""), (5, 0, None, None), (5, 0, None, None)]
+    rows += [(4, i, "assistant" if i % 2 else "user", f"turn {i} \\b<") for i in range(170)]
+    rows += [(6, 0, "user", "x" * 300_000 + "<"), (6, 1, "assistant", "é\\" * 100_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, conv_ID2 string").repartition(3)
     got = {r.conv_id: r for r in format_chats(df, keep=True).collect()}
-    for c in (1, 2, 3, 4):
-        mine = sorted((r[1], r[2], r[3] or "") for r in rows if r[0] == c)
+    written = Written(inst_template)
+    for c in (1, 2, 3, 4, 5, 6):
+        mine = sorted((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == c)
         loss = "".join(t for _, role, t in mine if role == "assistant")
         g = got[c]
-        assert g.formatted == inst_template([(role, t) for _, role, t in mine]) and g.formatted_chars == len(g.formatted) and not g.rewrites_history
+        assert g.formatted == inst_template([(role, t) for _, role, t in mine]) and g.formatted_chars == len(g.formatted) and not g.rewrites_history and g.exact
         assert g.n_turns == len(mine) and g.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in mine).encode()).hexdigest()
-        assert "".join(unescape(g.formatted[a:b]) for a, b in g.loss_spans) == loss and g.loss_chars == len(loss)
+        assert "".join(written.back(g.formatted[a:b], loss) for a, b in g.loss_spans) == loss and g.loss_chars == len(loss)
+        assert g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert format_chats(df.where("false")).count() == 0
-    assert unescape(escape("\\\\l<[\\")) == "\\\\l<[\\"
-    s = Spans(lambda turns: f"{len(turns)}:" + inst_template(turns))
-    s.add("user", "a")
-    s.add("assistant", "b")
+
+
+def _plain(turns):
+    return "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in turns)
+
+
+def _xml(turns):
+    return "<chat>" + "".join(f'<m by="{role}">' + text.replace("&", "&amp;").replace("<", "&lt;") + "</m>" for role, text in turns)
+
+
+def _numbered(turns):
+    return "".join(f"[{i}/{role}] {text!r}\n" for i, (role, text) in enumerate(turns))
+
+
+@pytest.mark.parametrize("template", [_plain, _xml, _numbered])
+def test_chat_takes_any_template(template):
+    from seqmap.llm.chat import Spans
+
+    turns = [("user" if i % 2 else "assistant", f"{i} a&b <c> && &lt;") for i in range(150)]
+    s = Spans(template)
+    for t in turns:
+        s.add(*t)
+    s.end()
+    assert not s.rewrites and all(x.exact for x in s.spans)
+    assert "".join(x.text for x in s.spans) == template(turns)
+    assert [(x.role, x.body) for x in s.spans] == turns
+
+
+@pytest.mark.parametrize("turns, template", [
+    (2, lambda t: f"{len(t)}:" + _plain(t)),
+    (60, lambda t: _plain(t[-25:])),
+    (200, lambda t: _plain(t[-90:])),
+    (130, lambda t: f"# part {len(t) // 30}\n" + _plain(t)),
+    (100, lambda t: _plain([(r, x) if i < 70 or len(t) < 90 else (r, "...") for i, (r, x) in enumerate(t)])),
+])
+def test_chat_sees_rewritten_history(turns, template):
+    from seqmap.llm.chat import Spans
+
+    s = Spans(template)
+    for i in range(turns):
+        s.add("user" if i % 2 else "assistant", f"turn {i}")
+    s.end()
     assert s.rewrites
 
 
+def test_chat_query_reads_its_extra_conversation_back(spark, tmp_path):
+    from seqmap.llm.queries import op7_chat
+
+    spark.createDataFrame([(3, 0, "user", "hi"), (3, 1, "assistant", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in op7_chat(spark, str(tmp_path)).collect()}
+    said = "</s>[INST] ok [/INST]"
+    r = got[-7]
+    assert set(got) == {3, -7} and (r.n_turns, r.loss_chars) == (2, len(said)) and r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert r.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest() and got[3].loss_chars == 0
+
+
 def test_quality(spark, empty):
     from seqmap.llm.quality import classify, filter_docs
 
