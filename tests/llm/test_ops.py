@@ -468,36 +468,96 @@ def test_quality(spark, empty):
     assert classify(empty, known).count() == 0
 
 
+def _chains(text):
+    """The chains by a loop over words."""
+    from seqmap.llm.spots import ANCHORS, CHAIN
+
+    anchors = set(ANCHORS.split())
+    w = re.findall(r"[^\W_]+", text.lower())
+    out = set()
+    for i, x in enumerate(w):
+        if x in anchors:
+            rest = [y for y in w[i + 1 :] if y not in anchors][:CHAIN]
+            if len(rest) == CHAIN:
+                out.add(" ".join([x, *rest]))
+    return out
+
+
 def test_fingerprints(docs, empty):
-    from seqmap.llm.spots import fingerprints, signatures
+    from seqmap.llm.spots import fingerprints
 
     df, plain = docs
+    spark = df.sparkSession
+    more = {10_000: "The cat of the house walks, and it is the house of cats.", 10_001: "the-cat of the HOUSE walks", 2**63 - 1: "la maison et le chat sont dans la rue", -(2**63): "ein Haus und der Hund", 11_000: "the of and", 11_001: "&&& the *** cat $$$ of ### house"}
+    df = df.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
+    plain = {**plain, **more}
     got = by_id(fingerprints(df))
     ids = sorted(plain)
-    seen = {}
+    seen, sets = {}, {}
+    every = sorted({c for t in plain.values() for c in _chains(t or "")})
+    hashes = {r.c: r.h for r in spark.createDataFrame([(c,) for c in every], "c string").select("c", F.hash("c").alias("h")).collect()}
+    likely = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
     for k, i in enumerate(ids):
         t, nxt = plain[i] or "", plain[ids[(k + 1) % len(ids)]] or ""
         half = len(t) // 2
         r = got[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
         assert seen.setdefault(t, r.fingerprint) == r.fingerprint
-        sets = [set(json.loads(f.split(":", 1)[1])) for f in (r.fingerprint, r.edited_fingerprint)]
-        want = len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
-        assert r.near_edited == pytest.approx(want if want >= 0.05 or not want else r.near_edited)
+        sets[i], edited = (set(json.loads(f.split(":", 1)[1])) for f in (r.fingerprint, r.edited_fingerprint))
+        want = {hashes[c] for c in _chains(t)}
+        assert want <= sets[i] and len(sets[i] - want) <= 1, (t[:80], want, sets[i])
+        assert bool(sets[i]) == bool(re.search(r"[^\W_]", t))
+        assert r.near_edited == pytest.approx(likely(sets[i], edited))
+    for k, i in enumerate(ids):
+        assert got[i].near_next == pytest.approx(likely(sets[i], sets[ids[(k + 1) % len(ids)]]))
     assert fingerprints(empty).count() == 0
-    one = df.sparkSession.createDataFrame([("the cat of house walks",), ("the of cat house walks",)], "t string").select(F.size(signatures(F.col("t"))).alias("n")).collect()
-    assert all(x.n >= 2 for x in one)
+
+
+def test_fingerprints_meet_the_next_document_over_buckets(spark, monkeypatch):
+    from seqmap.llm import spots
+
+    monkeypatch.setattr(spots, "BUCKET_ROWS", 3)
+    ids = sorted({*range(0, 60, 3), *range(10**15, 10**15 + 40), -(2**63), 2**63 - 1})
+    plain = {i: f"{i} the cat number {i} and so on" for i in ids}
+    got = by_id(spots.fingerprints(spark.createDataFrame([*plain.items(), (None, "zzz")], "doc_id long, text string").repartition(4)))
+    for i, nxt in zip([None, *ids], [*ids, None]):
+        t, n = plain.get(i, "zzz"), plain.get(nxt, "zzz")
+        half = len(t) // 2
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
+
+
+def test_near_fingerprints_are_found(spark):
+    from seqmap.llm.spots import near, signatures
+
+    r = random.Random(6)
+    some = "the of and a to in is it".split()
+    text = lambda n: " ".join(r.choice(some if r.random() < 0.4 else WORDS) for _ in range(n))
+    plain = {}
+    for i in range(20):
+        w = text(r.randint(20, 120)).split(" ")
+        for k in range(3):
+            plain[3 * i + k] = " ".join(x for x in w if r.random() > 0.02 * k)
+    df = spark.createDataFrame([*plain.items(), (90, None), (91, "")], "doc_id long, text string")
+    sets = {x.doc_id: frozenset(x.s) for x in df.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("s")).collect()}
+    ids, want, first = sorted(plain), set(), {}
+    for i in ids:
+        first.setdefault(sets[i], i)
+    for a in first.values():
+        for b in first.values():
+            if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b]):
+                want.add((a, b))
+    assert {(x.a, x.b) for x in near(df).collect()} == want and len(want) > 5
 
 
 def test_fingerprints_have_one_rule_at_every_size(spark):
     from seqmap.llm.spots import likeness, signatures
 
     r = random.Random(8)
-    text = "".join(r.choice("bcdfghjk") + r.choice("aeiou") + r.choice("lmnprst") + " " for _ in range(80))
+    text = "".join(r.choice("bcdfghjk") + r.choice("aeiou") + r.choice("lmnprst") + (" the " if r.random() < 0.5 else " ") for _ in range(80))
     cut = spark.createDataFrame([(n, text[: n + 12].strip(), text[:n].strip()) for n in (200, 248, 300)], "n int, a string, b string")
     cut = cut.withColumns({"a": signatures(F.col("a")), "b": signatures(F.col("b"))})
     near = {x.n: x.near for x in cut.select("n", likeness("a", "b").alias("near")).collect()}
-    assert all(x > 0.85 for x in near.values()), near
+    assert all(x > 0.8 for x in near.values()), near
 
 
 def test_pipeline(spark, tmp_path):
