@@ -71,8 +71,8 @@ class Boosted:
         return out
 
 
-def fit(names: list[str], x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float = 0.99, rounds: int = 12, depth: int = 3, rate: float = 0.4) -> Boosted:
-    """The threshold is the lowest margin that reaches the precision on the held-out rows."""
+def fit(names: list[str], x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float = 0.98, rounds: int = 30, depth: int = 3, rate: float = 0.4) -> Boosted:
+    """The threshold is the lowest margin, not below even odds, that reaches the precision on the held-out rows."""
     model, margin = Boosted(names, rate, []), np.zeros(len(y))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin[~held]))
@@ -81,5 +81,5 @@ def fit(names: list[str], x: np.ndarray, y: np.ndarray, held: np.ndarray, precis
     order = np.argsort(-margin[held], kind="stable")
     m, right = margin[held][order], np.cumsum(y[held][order]) / np.arange(1, len(order) + 1)
     ok = np.flatnonzero((right >= precision) & np.append(m[1:] < m[:-1], True))
-    model.threshold = float(m[ok[-1]]) if len(ok) else float("inf")
+    model.threshold = max(0.0, float(m[ok[-1]])) if len(ok) else float("inf")
     return model

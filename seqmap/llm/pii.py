@@ -33,11 +33,11 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Candidates.
-SPELLED = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{2,64}+(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,24}+){1,4}"
-NUMBER = r"(?<![0-9A-Za-z.])\(?[0-9]{1,5}+(?:[\x20().-]{1,3}[0-9]{2,5}+){1,5}(?![0-9A-Za-z])"
-CODE = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+SPELLED = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)++"
+NUMBER = r"(?<![0-9A-Za-z.])\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++(?![0-9A-Za-z])"
+CODE = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,}+(?:\x20?[A-Z0-9]{1,3}+)?+(?![0-9A-Za-z])"
 CONTEXT = 24
-SAMPLES, SEED = 1600, 7
+SAMPLES, SEED = 4000, 7
 FEATURES = ("kind", "n", "digits", "groups", "first_group", "last_group", "dashes", "dots", "spaces", "parens", "check", "named", "counted", "before_word", "after_word")
 
 
@@ -106,7 +106,7 @@ def samples(n: int = SAMPLES, seed: int = SEED) -> list[dict]:
         y = i % 2
         kind, make = r.choice(good if y else bad)
         lead = r.choice(["", "", f"{word()} ", r.choice(named if r.random() < 0.9 else counted) if y else r.choice(counted if r.random() < 0.9 else named)])
-        out.append({"kind": kind, "text": make(), "before": f"{word()} {lead}"[-CONTEXT:], "after": r.choice([" ", ". ", ", ", "", "*** "]) + word(), "y": y})
+        out.append({"kind": kind, "text": make(), "before": f"{word()} {lead}"[-CONTEXT:], "after": r.choice([" ", ". ", ", ", "\n", "*** "]) + word(), "y": y})
     return out
 
 
@@ -128,7 +128,7 @@ def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     df = locate(df, "text", "_card", CARD, 2, t.rlike(r"(?:[0-9][\x20-]?){13}[0-9]"))
     df = locate(df, "text", "_phone", PHONE, 3, t.rlike(r"\+[0-9]"))
     df = locate(df, "text", "_spelled", SPELLED, 4, t.rlike(r"[(\[]at[)\]]|\x20at\x20"))
-    df = locate(df, "text", "_number", NUMBER, 5, t.rlike(r"[0-9][\x20().-]{1,3}[0-9]{2}"))
+    df = locate(df, "text", "_number", NUMBER, 5, t.rlike(r"[0-9][\x20().-]{1,3}[0-9]"))
     df = locate(df, "text", "_code", CODE, 6, t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"))
     part = lambda s, i: F.get(F.split(s["text"], r"\."), F.lit(i))
     byte = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "").rlike("^(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")
@@ -147,7 +147,8 @@ def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     def judged(s: Column) -> Column:
         before = F.substring(t, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
         after = F.substring(t, s["end"] + 1, F.lit(2))
-        return model.column(features(s, before, after)) >= model.threshold
+        found = F.array(F.struct(*[f.alias(k) for k, f in features(s, before, after).items()]))  # computed once for all trees
+        return F.get(F.transform(found, lambda f: model.column({k: f[k] for k in FEATURES}) >= model.threshold), F.lit(0))
 
     df = df.withColumn("_chosen", F.when(F.size("_apart") > 0, F.filter("_apart", judged)).otherwise(F.col("_apart"))).drop("_apart")
     longer = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & ((b["end"] - b["start"] > a["end"] - a["start"]) | ((b["end"] - b["start"] == a["end"] - a["start"]) & (b["kind"] < a["kind"])))
@@ -169,4 +170,5 @@ def digest(found: DataFrame) -> DataFrame:
         *[count("base", k).alias(f"n_{KINDS[k]}") for k in range(4)],
         F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"),
         joined(F.col("spans"), KINDS).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

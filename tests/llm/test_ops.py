@@ -290,6 +290,47 @@ def test_spelled_addresses_do_not_depend_on_other_text(spark):
     assert {"jane at example [dot] com", "jane at example (dot) com"} <= chosen, chosen
 
 
+def _ends(spans):
+    return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)]
+
+
+def test_trees_find_planted_personal_data(spark):
+    """Held-out made-up spans in prose: at least nine of ten are found, and nine of ten found are right."""
+    from seqmap.llm.pii import KINDS, digest, find, samples
+
+    made = samples(600, 4711)
+    rows = []
+    for i, x in enumerate(made):
+        before = prose(8) + " " + x["before"]
+        rows.append((i, before + x["text"] + x["after"] + " " + prose(8), len(before), len(before + x["text"]), x["y"]))
+    got = by_id(digest(find(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))))
+    hit = [any(k in KINDS[4:] and a < e and s < b for k, a, b in _ends(got[i].spans)) for i, _, s, e, _ in rows]
+    right = sum(h for h, r in zip(hit, rows) if r[4])
+    assert right >= 0.9 * sum(r[4] for r in rows), right
+    assert right >= 0.9 * sum(hit), (right, sum(hit))
+    outside = sum(1 for i, _, s, e, _ in rows for k, a, b in _ends(got[i].spans) if not (a < e and s < b))
+    assert outside <= 0.05 * len(rows)
+
+
+def test_models_find_planted_secrets(spark):
+    """Held-out random strings of each alphabet and length, against words and identifiers of the same documents."""
+    from seqmap.llm.secrets import ALPHABET, digest, find, identifiers, train
+
+    r = random.Random(99)
+    letters = [w for w in WORDS if w.isascii()]
+    long = ["".join(r.choice(letters) for _ in range(r.randint(1, 4))) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(long) for _ in range(60))) for i in range(200)], "doc_id long, text string")
+    model = train(docs)
+    kinds = [ALPHABET[:62], "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:64], ALPHABET[26:62]]
+    secret = [r.choice(["", "sk-", "ghp_"]) + "".join(r.choice(kinds[i % 5]) for _ in range(r.randint(12, 40))) for i in range(400)]
+    plain = [x for x in identifiers(long, 400, random.Random(5)) if len(x) >= 12]
+    rows = [(i, f"{prose(6, r)} {x} {prose(6, r)}") for i, x in enumerate(secret + plain)]
+    got = by_id(digest(find(spark.createDataFrame(rows, "doc_id long, text string"), model)))
+    found = [got[i].n_spans > 0 for i in range(len(rows))]
+    assert sum(found[:400]) >= 0.95 * 400, sum(found[:400])
+    assert sum(found[400:]) <= 0.02 * len(plain), sum(found[400:])
+
+
 def test_secrets(docs, empty, spark):
     from seqmap.llm.secrets import digest, find, redact
 
