@@ -28,6 +28,7 @@ class Encoding:
     bulk: Callable[[np.ndarray, int], np.ndarray]  # letters, k -> a key for each start, -1 for none
     column: Callable[[Column, int], Column] | None = None
     keys: Callable[[int], int] | None = None
+    local: bool = True  # whether a window's key depends on its own letters alone
 
     def total_keys(self, k: int) -> int:
         return self.keys(k) if self.keys else 1 << self.bits(k)
@@ -45,6 +46,26 @@ def _gather(codes: np.ndarray, bad: int, k: int, places: list[int], width: int)
     return np.where(ok, key, -1)
 
 
+def _windows(codes: np.ndarray, bad: int, k: int, width: int) -> np.ndarray:
+    """Keys of whole windows: those of twice the length are put together from two, so it takes log k steps."""
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    wrong = np.append(0, np.cumsum(codes == bad))
+    power, size = np.where(codes == bad, 0, codes).astype(np.int64), 1
+    key, used = None, 0
+    while True:
+        if k & size:  # powers of two that make up k, the least first
+            part = power[k - used - size :][:n]
+            key = part.copy() if key is None else key | part << (used * width)
+            used += size
+        if 2 * size > k:
+            break
+        power = power[:-size] << (size * width) | power[size:]
+        size *= 2
+    return np.where(wrong[k:] - wrong[:-k] == 0, key, -1)
+
+
 def gapped_parts(k: int) -> tuple[int, int]:
     """Letters used at each end, and those skipped between."""
     side = (2 * k // 3) // 2
@@ -118,11 +139,11 @@ def register_encoding(e: Encoding) -> Encoding:
     return e
 
 
-BITWISE = register_encoding(Encoding("bitwise", lambda k: k, lambda s, k: _gather(_AT[s], 2, k, list(range(k)), 1), lambda w, k: _at_bits(w)))
-PLAIN = register_encoding(Encoding("plain", lambda k: 2 * k, lambda s, k: _gather(_PLAIN[s], 4, k, list(range(k)), 2), _plain))
+BITWISE = register_encoding(Encoding("bitwise", lambda k: k, lambda s, k: _windows(_AT[s], 2, k, 1), lambda w, k: _at_bits(w)))
+PLAIN = register_encoding(Encoding("plain", lambda k: 2 * k, lambda s, k: _windows(_PLAIN[s], 4, k, 2), _plain))
 GAPPED = register_encoding(Encoding("gapped", lambda k: 2 * gapped_parts(k)[0], lambda s, k: _gather(_AT[s], 2, k, _gapped_places(k), 1), _gapped))
 SWAP = register_encoding(Encoding("swap", lambda k: k // 2, lambda s, k: _gather(_AT[s], 2, k, list(range(0, k // 2 * 2, 2)), 1), _swap))
-HPC = register_encoding(Encoding("hpc", lambda k: 2 * k, hpc_bulk, None, lambda k: 4 * 3 ** (k - 1)))
+HPC = register_encoding(Encoding("hpc", lambda k: 2 * k, hpc_bulk, None, lambda k: 4 * 3 ** (k - 1), False))
 
 
 def encoding(name: str, k: int) -> Encoding:

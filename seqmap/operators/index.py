@@ -16,6 +16,9 @@ from seqmap.functions.encodings import ENCODINGS, encoding, letters_of
 from seqmap.functions.guides import GUIDES
 
 KEYS = "id long, pos long, key long, over boolean"
+POSTINGS = "key long, gpos long, contig_id long, cpos long"
+#: Letters encoded at once; keys that are sent to all tasks at most.
+PIECE, FILTER_KEYS = 1 << 20, 1 << 20
 #: Cut points of the distribution of posting sizes: 0 to 99 by one, then each decade to a million in nine steps.
 CUTS = [*range(100), *(d * m for d in (100, 1000, 10000, 100000) for m in range(1, 10)), 1000000]
 RANGE = 1 << 20
@@ -44,54 +47,65 @@ def key_limits(mean_log10: float, sd_log10: float, q95: int) -> tuple[int, int]:
 def with_offsets(contigs: DataFrame) -> DataFrame:
     """Adds size and the half-open [start, end) on the concatenation of all contigs in order of contig_id.
 
-    Contigs of an id range are summed first; only the ranges' sums meet in one task.
+    Places are made from ids and sizes alone: id ranges are summed first, and only the ranges' sums meet in one task.
     """
-    sized = contigs.withColumn("size", F.length("seq").cast("long")).withColumn("_r", F.floor(F.col("contig_id") / 1024))
-    ranges = sized.groupBy("_r").agg(F.sum("size").alias("_n"))
+    sizes = contigs.select("contig_id", F.length("seq").cast("long").alias("size")).withColumn("_r", F.floor(F.col("contig_id") / 1024))
+    ranges = sizes.groupBy("_r").agg(F.sum("size").alias("_n"))
     before = W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = W.partitionBy("_r").orderBy("contig_id").rowsBetween(W.unboundedPreceding, -1)
-    out = sized.join(ranges, "_r").withColumn("start", F.col("_base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return out.withColumn("end", F.col("start") + F.col("size")).drop("_r", "_base")
+    places = sizes.join(ranges, "_r").withColumn("start", F.col("_base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return contigs.join(places.select("contig_id", "size", "start", (F.col("start") + F.col("size")).alias("end")), "contig_id")
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], k: int, encoding_name: str, guide: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row in its batch's columns as ids and starts, places, keys, whether by length) of sequences, a bounded piece at a time."""
+    enc, scan = encoding(encoding_name, k), GUIDES[guide]
+    for b in batches:
+        starts = b.column(2).to_pylist() if b.num_columns > 2 else [0] * b.num_rows
+        for i, s, start in zip(b.column(0).to_pylist(), b.column(1), starts):
+            s = s.as_py()
+            if not s or len(s) < k:
+                continue
+            letters = letters_of(s.upper())
+            del s
+            n = max(0, len(letters) - k - 1)
+            whole = not enc.local
+            if guide != "default":
+                g = [x for x in scan(letters.tobytes().decode("latin-1"), k) if x[0] + k <= len(letters)]
+                at, over = np.array([x[0] for x in g], np.int64), np.array([x[1] for x in g], bool)
+            for a in range(0, len(letters) - k + 1, len(letters) if whole else PIECE):
+                e = len(letters) if whole else a + PIECE
+                key = enc.bulk(letters if whole else letters[a : e + k - 1], k)
+                if guide == "default":
+                    p, o = np.arange(a, min(e, n)), None
+                else:
+                    here = (at >= a) & (at < e)
+                    p, o = at[here], over[here]
+                key = key[p - (0 if whole else a)]
+                ok = key >= 0
+                yield i, start, p[ok], key[ok], np.zeros(int(ok.sum()), bool) if o is None else o[ok]
 
 
-def keys_of(df: DataFrame, id_col: str, seq_col: str, k: int, encoding_name: str = "bitwise", guide: str = "default", spread: bool = True) -> DataFrame:
-    """(id, pos, key, over) of each guide of each sequence that has a key; encoded in bulk, a sequence at a time."""
-    enc = encoding(encoding_name, k)
-    scan = GUIDES[guide]
-    every = guide == "default"
+def keys_of(df: DataFrame, id_col: str, seq_col: str, k: int, encoding_name: str = "bitwise", guide: str = "default") -> DataFrame:
+    """(id, pos, key, over) of each guide of each sequence that has a key; encoded in bulk, a piece of a sequence at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, at, keys, overs, held = [], [], [], [], 0
-            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not s or len(s) < k:
-                    continue
-                s = s.upper()
-                key = enc.bulk(letters_of(s), k)
-                if every:
-                    p = np.arange(max(0, len(s) - k - 1))
-                    over = np.zeros(len(p), bool)
-                else:
-                    g = [x for x in scan(s, k) if x[0] + k <= len(s)]
-                    p, over = np.array([x[0] for x in g], np.int64), np.array([x[1] for x in g], bool)
-                ok = key[p] >= 0
-                ids.append(np.full(int(ok.sum()), i, np.int64))
-                at.append(p[ok])
-                keys.append(key[p[ok]])
-                overs.append(over[ok])
-                held += len(ids[-1])
-                if held > 1 << 20:
-                    yield _keys_batch(ids, at, keys, overs)
-                    ids, at, keys, overs, held = [], [], [], [], 0
-            if ids:
-                yield _keys_batch(ids, at, keys, overs)
+        held, size = [], 0
+        for i, _, p, key, over in _encoded(batches, k, encoding_name, guide):
+            held.append((np.full(len(p), i, np.int64), p, key, over))
+            size += len(p)
+            if size >= PIECE:
+                yield _batch(held, KEYS)
+                held, size = [], 0
+        if held:
+            yield _batch(held, KEYS)
 
     return df.select(F.col(id_col).cast("long"), F.col(seq_col)).mapInArrow(run, KEYS)
 
 
-def _keys_batch(ids: list, at: list, keys: list, overs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, at, keys, overs)], names=["id", "pos", "key", "over"])
+def _batch(held: list[tuple[np.ndarray, ...]], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=[f.split()[0] for f in schema.split(", ")])
 
 
 def guides_of(df: DataFrame, id_col: str, seq_col: str, k: int, guide: str) -> DataFrame:
@@ -107,11 +121,58 @@ def guides_of(df: DataFrame, id_col: str, seq_col: str, k: int, guide: str) -> D
     return df.select(F.col(id_col).cast("long"), F.col(seq_col)).mapInArrow(run, "id long, pos long, over boolean")
 
 
-def postings(contigs: DataFrame, k: int, encoding_name: str = "bitwise", guide: str = "default") -> DataFrame:
-    """(key, gpos, contig_id, cpos); contigs need contig_id, seq and start."""
-    keys = keys_of(contigs, "contig_id", "seq", k, encoding_name, guide)
-    starts = contigs.select(F.col("contig_id").alias("id"), "start")
-    return keys.join(starts, "id").select("key", (F.col("start") + F.col("pos")).alias("gpos"), F.col("id").alias("contig_id"), F.col("pos").alias("cpos"))
+def postings(contigs: DataFrame, k: int, encoding_name: str = "bitwise", guide: str = "default", only: DataFrame | None = None) -> DataFrame:
+    """(key, gpos, contig_id, cpos); contigs need contig_id, seq and start.
+
+    only: a table of keys; others are left out. If it has at most FILTER_KEYS keys they travel to the tasks, so that
+    other postings are never made; a larger table is joined.
+    """
+    some = None
+    if only is not None:
+        keys = only.select("key").distinct().limit(FILTER_KEYS + 1).toArrow().column(0)  # 8 MB at most
+        some = np.sort(keys.to_numpy()) if len(keys) <= FILTER_KEYS else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for i, start, p, key, _ in _encoded(batches, k, encoding_name, guide):
+            if some is not None:
+                if not len(some):
+                    continue
+                ok = some[np.minimum(np.searchsorted(some, key), len(some) - 1)] == key
+                p, key = p[ok], key[ok]
+            held.append((key, p + start, np.full(len(p), i, np.int64), p))
+            size += len(p)
+            if size >= PIECE:
+                yield _batch(held, POSTINGS)
+                held, size = [], 0
+        if held:
+            yield _batch(held, POSTINGS)
+
+    out = contigs.select(F.col("contig_id").cast("long"), "seq", F.col("start").cast("long")).mapInArrow(run, POSTINGS)
+    return out if only is None or some is not None else out.join(only.select("key").distinct(), "key", "left_semi")
+
+
+def sizes_of(contigs: DataFrame, k: int, encoding_name: str = "bitwise", guide: str = "default") -> DataFrame:
+    """(key, size) of all keys of contigs(contig_id, seq), without making postings: tasks count before anything is dealt out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            each, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(each), pa.array(n)], names=["key", "n"])
+
+        for _, _, _, key, _ in _encoded(batches, k, encoding_name, guide):
+            held.append(key)
+            size += len(key)
+            if size >= 4 * PIECE:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
+
+    counts = contigs.select(F.col("contig_id").cast("long"), "seq").mapInArrow(run, "key long, n long")
+    return counts.groupBy("key").agg(F.sum("n").alias("size"))
 
 
 def key_sizes(post: DataFrame) -> DataFrame:
@@ -127,11 +188,6 @@ def prefix_offsets(sizes: DataFrame) -> DataFrame:
     return s.join(ranges, "_r").select("key", "size", (F.col("_base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("offset"))
 
 
-def posting_lists(post: DataFrame) -> DataFrame:
-    """Positions of a key in genome order, for export; lists are as long as their keys are frequent."""
-    return post.groupBy("key").agg(F.sort_array(F.collect_list("gpos")).alias("gpos"))
-
-
 def drop_heavy_keys(sizes: DataFrame, limit: int) -> DataFrame:
     return sizes.where(F.col("size") < limit)
 
@@ -201,7 +257,7 @@ class Index:
 def build_index(contigs: DataFrame, k: int, encoding_name: str = "bitwise", guide: str = "default") -> Index:
     own = contigs if "start" in contigs.columns else with_offsets(contigs)
     post = postings(own, k, encoding_name, guide)
-    sizes = key_sizes(post)
+    sizes = sizes_of(own, k, encoding_name, guide)
     return Index(meta_of(own, sizes, k, encoding_name, guide), own, post, sizes)
 
 

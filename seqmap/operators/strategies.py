@@ -15,9 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqmap.operators import kernels
+from seqmap.operators.probe import read_keys
 from seqmap.operators.verify import with_mismatches, with_reference
 
 CANDIDATE = ["read_num", "mate", "strand", "contig_id", "gpos", "rpos", "diag", "votes"]
+#: Ties that are acceptable, and that are too many.
+FEW, MANY = 16, 128
 FOUND = "read_num long, mate int, strand int, gpos long, rpos long, votes long"
 
 
@@ -54,6 +57,11 @@ class Probe:
     contigs: DataFrame
     params: MapParams = field(default_factory=MapParams)
     longest: int | None = None
+    keys: DataFrame | None = None
+
+    def all_keys(self) -> DataFrame:
+        """(read_num, mate, strand, …) of all keys of the reads, also of those without postings."""
+        return self.keys if self.keys is not None else read_keys(self.reads, self.params.k)
 
 
 STRATEGIES: dict[str, Strategy] = {}
@@ -119,18 +127,24 @@ def reach(p: Probe) -> int:
 
 
 def diag_votes(p: Probe, limit: int | None) -> DataFrame:
-    """Exact votes for diagonals; the most frequent ones stay if they have two votes and not too many ties."""
+    """Exact votes for diagonals, for each strand by itself: the most frequent ones, unless there are too many ties.
+
+    All keys of a strand below the limit are used, also those without postings. The score is 80 for the share of votes
+    (of five keys at least) and 20 for the share of keys that are used.
+    """
     h = below(p.hits, limit)
-    read = ["read_num", "mate"]
-    order = F.struct("rpos", "gpos")
-    votes = h.groupBy(*read, "strand", "contig_id", "diag").agg(F.count(F.lit(1)).alias("votes"), F.min_by(F.struct("gpos", "rpos"), order).alias("at"))
-    keys = h.groupBy(*read, "strand").agg(F.countDistinct("key_idx").alias("used")).groupBy(*read).agg(F.sum("used").alias("used"))
-    by = W.partitionBy(*read)
-    v = votes.join(keys, read).withColumn("_best", F.max("votes").over(by)).where("votes = _best")
+    strand = ["read_num", "mate", "strand"]
+    votes = h.groupBy(*strand, "contig_id", "diag").agg(F.count(F.lit(1)).alias("votes"), F.min_by(F.struct("gpos", "rpos"), F.struct("rpos", "gpos")).alias("at"))
+    possible = p.all_keys().groupBy(*strand).agg(F.count(F.lit(1)).alias("possible"))
+    over = p.hits.where(F.lit(False) if limit is None else F.col("size") >= limit).groupBy(*strand).agg(F.countDistinct("key_idx").alias("over"))
+    keys = possible.join(over, strand, "left").select(*strand, "possible", (F.col("possible") - F.coalesce("over", F.lit(0))).alias("used"))
+    by = W.partitionBy(*strand)
+    v = votes.join(keys, strand).withColumn("_best", F.max("votes").over(by)).where("votes = _best")
     v = v.withColumn("ties", F.count(F.lit(1)).over(by) - 1)
-    score = F.floor(F.col("votes") * 80 / F.greatest(F.col("used"), F.lit(5))) + 20
-    v = v.where("votes >= 2").where(~((F.col("ties") > 128) & (score < 50))).where("not (votes < 4 and ties > 16)").where("not (ties > 0 and votes < 3 and used >= 6)")
-    return v.select(*read, "strand", "contig_id", F.col("at.gpos").alias("gpos"), F.col("at.rpos").alias("rpos"), "diag", "votes")
+    score = F.floor(F.col("votes") * 80 / F.greatest(F.col("used"), F.lit(5))) + F.floor(F.col("used") * 20 / F.col("possible"))
+    v = v.withColumn("score", score).where(f"used > 1 or ties <= {FEW}")
+    v = v.where(f"not (ties > {MANY} and score < 50)").where(f"not (votes < 4 and ties > {FEW})").where("not (ties > 0 and votes < 3 and used >= 6)")
+    return v.select(*strand, "contig_id", F.col("at.gpos").alias("gpos"), F.col("at.rpos").alias("rpos"), "diag", "votes")
 
 
 def tolerant_votes(hits: DataFrame, near: int = 9) -> DataFrame:
@@ -208,7 +222,7 @@ def _register() -> None:
     for letter, w in (("b", "low"), ("B", "high"), ("V", "ten"), ("v", "all"), ("P", "all"), ("d", "low"), ("D", "high"), ("E", "ten")):
         register_strategy(letter, f"diagonal votes, {w}", lambda p, w=w: diag_votes(p, limits(p.params)[w]))
     register_strategy("i", "votes for the largest list", lambda p: by_kernel(p, kernels.tree_votes))
-    for letter, steps, w, dynamic in (("m", 2, "low", False), ("M", 5, "low", False), ("w", 3, "low", False), ("W", 5, "ten", True)):
+    for letter, steps, w, dynamic in (("m", 2, "low", False), ("M", 5, "high", False), ("w", 3, "low", False), ("W", 5, "ten", True)):
         register_strategy(letter, f"moving window, {w}", lambda p, w=w, s=steps, d=dynamic: by_kernel(p, lambda r, n=limits(p.params)[w]: kernels.moving_window(r, n, s, d)))
     for letter, limit in (("q", lambda p: 1 + p.low // 4), ("Q", lambda p: p.low), ("G", lambda p: p.high)):
         register_strategy(letter, "sweep over the genome", lambda p, f=limit: by_kernel(p, lambda r, n=f(p.params): kernels.sweep(r, n)))
@@ -237,6 +251,3 @@ def mates(p: Probe, limit: int | None) -> DataFrame:
 
 _register()
 
-
-def score_of(votes: Column, used: Column) -> Column:
-    return F.floor(votes * 100 / F.greatest(used, F.lit(1)))

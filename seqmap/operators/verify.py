@@ -23,9 +23,25 @@ for _c, _p in (("C", "C"), ("G", "G"), ("T", "T"), ("U", "T")):
 
 
 def hamming(a: str, b: str) -> int:
-    x, y = (_PACKED[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)] for s in (a, b))
-    n = min(len(x), len(y))
-    return int(np.count_nonzero(x[:n] != y[:n])) + abs(len(x) - len(y)) if max(len(x), len(y)) >= 4 else 0
+    return int(hamming_of(pa.array([a]), pa.array([b]))[0])
+
+
+def hamming_of(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The distances of two columns of sequences, all letters at once; letters beyond the shorter one differ."""
+    parts = []
+    for x in (a, b):
+        raw = x.cast(pa.large_string()).fill_null("")
+        raw = pa.concat_arrays([raw])  # offsets from 0
+        at, data = raw.buffers()[1:]
+        ends = np.frombuffer(at, np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+        parts.append((np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), ends[:-1], np.diff(ends)))
+    (da, sa, na), (db, sb, nb) = parts
+    n = np.minimum(na, nb)
+    row = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    differ = _PACKED[da[sa[row] + inner]] != _PACKED[db[sb[row] + inner]] if len(row) else np.zeros(0, bool)
+    out = np.bincount(row[differ], minlength=len(n)) + np.abs(na - nb)
+    return np.where(np.maximum(na, nb) >= 4, out, 0)
 
 
 def genome_blocks(contigs: DataFrame, reach: int, width: int = BLOCK) -> DataFrame:
@@ -55,8 +71,8 @@ def with_mismatches(df: DataFrame, seq: str = "seq", ref: str = "ref", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, r = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (seq, ref))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([hamming(x, y) for x, y in zip(a, r)], pa.int64())], names=[*b.schema.names, out])
+            a, r = (b.column(b.schema.get_field_index(c)) for c in (seq, ref))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hamming_of(a, r).astype(np.int64))], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, schema)
 

@@ -72,16 +72,20 @@ def post(spark: SparkSession, d: str, k: int = K, encoding: str = "bitwise", gui
     return index.postings(contigs(spark, d), k, encoding, guide)
 
 
+def all_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return index.sizes_of(contigs(spark, d), K)
+
+
 def hits(spark: SparkSession, d: str, rd: DataFrame | None = None) -> DataFrame:
     """Reads' keys are few, so postings are first cut down to them; sizes are counted over what is left, which is all of each key."""
     keys = probe.read_keys(rd if rd is not None else reads(spark, d), K)
-    own = post(spark, d).join(keys.select("key").distinct(), "key", "left_semi")
+    own = index.postings(contigs(spark, d), K, only=keys)
     return probe.hits(keys.join(index.key_sizes(own), "key"), own)
 
 
 def a_probe(spark: SparkSession, d: str, rd: DataFrame | None = None) -> strategies.Probe:
     rd = rd if rd is not None else reads(spark, d)
-    return strategies.Probe(hits(spark, d, rd), probe.prepared(rd, K).where("usable"), contigs(spark, d), PARAMS)
+    return strategies.Probe(hits(spark, d, rd), probe.prepared(rd, K).where("usable"), contigs(spark, d), PARAMS, keys=probe.read_keys(rd, K))
 
 
 # ---- scalars and guides
@@ -165,12 +169,12 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("key_sizes", f"WITH {_CONTIGS}, {_POST} SELECT size, count(*) AS keys, CAST(sum(key) AS BIGINT) AS total FROM sizes GROUP BY size")
 def _key_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return index.key_sizes(post(spark, d)).groupBy("size").agg(F.count(F.lit(1)).alias("keys"), F.sum("key").alias("total"))
+    return all_sizes(spark, d).groupBy("size").agg(F.count(F.lit(1)).alias("keys"), F.sum("key").alias("total"))
 
 
 @query("prefix_offsets", f"WITH {_CONTIGS}, {_POST}, o AS (SELECT key, size, sum(size) OVER (ORDER BY key) - size AS off FROM sizes) SELECT key // 65536 AS range, count(*) AS keys, CAST(sum(off) AS BIGINT) AS offsets FROM o GROUP BY 1")
 def _prefix(spark: SparkSession, d: str) -> DataFrame:
-    o = index.prefix_offsets(index.key_sizes(post(spark, d)))
+    o = index.prefix_offsets(all_sizes(spark, d))
     return o.groupBy(F.floor(F.col("key") / 65536).alias("range")).agg(F.count(F.lit(1)).alias("keys"), F.sum("offset").alias("offsets"))
 
 
@@ -180,22 +184,22 @@ _CUT = f"(SELECT min(cut) FROM {_CUTS} c WHERE c.cut >= s.size)"
 
 @query("key_histogram", f"WITH {_CONTIGS}, {_POST}, by_size AS (SELECT size, count(*) AS n FROM sizes GROUP BY size) SELECT cut, CAST(sum(n) AS BIGINT) AS keys FROM (SELECT {_CUT} AS cut, n FROM by_size s UNION ALL SELECT 0, {1 << K} - (SELECT count(*) FROM sizes)) GROUP BY cut")
 def _histogram(spark: SparkSession, d: str) -> DataFrame:
-    return index.size_histogram(index.key_sizes(post(spark, d)), index.total_keys("bitwise", K))
+    return index.size_histogram(all_sizes(spark, d), index.total_keys("bitwise", K))
 
 
 @query("key_stats", f"WITH {_CONTIGS}, {_POST} SELECT count(*) AS keys, round(avg(log10(size)), 6) AS mean_log10, round(stddev_samp(log10(size)), 6) AS sd_log10 FROM sizes")
 def _stats(spark: SparkSession, d: str) -> DataFrame:
-    return index.key_stats(index.key_sizes(post(spark, d))).select("keys", F.round("mean_log10", 6).alias("mean_log10"), F.round("sd_log10", 6).alias("sd_log10"))
+    return index.key_stats(all_sizes(spark, d)).select("keys", F.round("mean_log10", 6).alias("mean_log10"), F.round("sd_log10", 6).alias("sd_log10"))
 
 
 @query("q95_limits", f"WITH {_CONTIGS}, {_POST}, h AS (SELECT {_CUT} AS cut, count(*) AS n FROM sizes s GROUP BY 1), r AS (SELECT cut, sum(n) OVER (ORDER BY cut) AS so_far, sum(n) OVER () AS total FROM h) SELECT CAST(min(cut) AS BIGINT) AS q95 FROM r WHERE so_far >= floor(total * 95 / 100)")
 def _q95(spark: SparkSession, d: str) -> DataFrame:
-    return index.q95(index.key_sizes(post(spark, d)))
+    return index.q95(all_sizes(spark, d))
 
 
 @query("drop_heavy_keys", f"WITH {_CONTIGS}, {_POST} SELECT count(*) AS keys, CAST(sum(size) AS BIGINT) AS places, max(size) AS most FROM sizes WHERE size < 20")
 def _heavy(spark: SparkSession, d: str) -> DataFrame:
-    return index.drop_heavy_keys(index.key_sizes(post(spark, d)), 20).agg(F.count(F.lit(1)).alias("keys"), F.sum("size").alias("places"), F.max("size").alias("most"))
+    return index.drop_heavy_keys(all_sizes(spark, d), 20).agg(F.count(F.lit(1)).alias("keys"), F.sum("size").alias("places"), F.max("size").alias("most"))
 
 
 @query("locate_contig", f"WITH {_CONTIGS}, g AS (SELECT unnest(range(0, (SELECT CAST(sum(size) AS BIGINT) FROM placed), 997)) AS gpos) SELECT gpos, contig_id, gpos - start AS cpos FROM g JOIN placed ON gpos >= start AND gpos < start + size")
@@ -221,7 +225,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 @query("size_rank", f"{_ALL} SELECT read_num, strand, rpos, coalesce(size, 0) AS size, row_number() OVER (PARTITION BY read_num, strand ORDER BY coalesce(size, 0), rpos) AS size_rank FROM rk LEFT JOIN sizes USING (key)")
 def _rank(spark: SparkSession, d: str) -> DataFrame:
     keys = probe.read_keys(reads(spark, d), K)
-    sizes = index.key_sizes(post(spark, d).join(keys.select("key").distinct(), "key", "left_semi"))
+    sizes = index.key_sizes(index.postings(contigs(spark, d), K, only=keys))
     return probe.sized(keys, sizes).select("read_num", F.col("strand").cast("int").alias("strand"), "rpos", "size", F.col("size_rank").cast("long").alias("size_rank"))
 
 
@@ -232,7 +236,7 @@ _TARGET = "targets AS (SELECT DISTINCT read_num AS id, key, 1000 * read_num AS t
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
     keys = probe.read_keys(reads(spark, d), K).where("strand = 0")
     t = keys.select(F.col("read_num").alias("id"), "key", (F.col("read_num") * 1000).alias("target")).distinct()
-    return probe.nearest_posting(t, post(spark, d), 100000)
+    return probe.nearest_posting(t, index.postings(contigs(spark, d), K, only=t), 100000)
 
 
 _A = "a AS (SELECT read_num, strand, contig_id, gpos FROM hits WHERE key_idx = 0), b AS (SELECT read_num, strand, contig_id, gpos AS gpos2 FROM hits WHERE key_idx = 30)"
@@ -281,9 +285,18 @@ def _best(spark: SparkSession, d: str) -> DataFrame:
     return v.select("read_num", "contig_id", F.col("strand").cast("int").alias("strand"), "diag", "votes")
 
 
-@query("diag_vote", f"""{_ALL}, {_VOTES}, used AS (SELECT read_num, count(DISTINCT strand * 100000 + key_idx) AS used FROM hits GROUP BY 1),
-b AS (SELECT v.*, used, max(votes) OVER (PARTITION BY read_num) AS best FROM votes v JOIN used USING (read_num)), t AS (SELECT *, count(*) OVER (PARTITION BY read_num) - 1 AS ties FROM b WHERE votes = best)
-SELECT read_num, strand, contig_id, diag, votes FROM t WHERE votes >= 2 AND NOT (ties > 128 AND votes * 80 // greatest(used, 5) + 20 < 50) AND NOT (votes < 4 AND ties > 16) AND NOT (ties > 0 AND votes < 3 AND used >= 6)""")
+def _diag_sql(used: str, hits: str) -> str:
+    return f"""{_ALL}, {_VOTES.replace("FROM hits", f"FROM (SELECT * FROM hits WHERE {hits})")}, ks AS (SELECT read_num, strand, count(*) AS possible, count(*) FILTER (WHERE {used}) AS used FROM rk LEFT JOIN sizes USING (key) GROUP BY ALL),
+b AS (SELECT v.*, used, possible, max(votes) OVER (PARTITION BY read_num, strand) AS best FROM votes v JOIN ks USING (read_num, strand)), t AS (SELECT *, count(*) OVER (PARTITION BY read_num, strand) - 1 AS ties, votes * 80 // greatest(used, 5) + used * 20 // possible AS score FROM b WHERE votes = best)
+SELECT read_num, strand, contig_id, diag, votes FROM t WHERE (used > 1 OR ties <= 16) AND NOT (ties > 128 AND score < 50) AND NOT (votes < 4 AND ties > 16) AND NOT (ties > 0 AND votes < 3 AND used >= 6)"""
+
+
+@query("diag_vote_low", _diag_sql("coalesce(size, 0) < 3", "size < 3"))
+def _diag_low(spark: SparkSession, d: str) -> DataFrame:
+    return strategies.diag_votes(a_probe(spark, d), 3).select("read_num", F.col("strand").cast("int").alias("strand"), "contig_id", "diag", "votes")
+
+
+@query("diag_vote", _diag_sql("true", "true"))
 def _diag(spark: SparkSession, d: str) -> DataFrame:
     return strategies.diag_votes(a_probe(spark, d), None).select("read_num", F.col("strand").cast("int").alias("strand"), "contig_id", "diag", "votes")
 
