@@ -6,7 +6,9 @@ be the result, the query gives sums over it, by contig or by size, so that every
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce as fold
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from seqmap.functions import encodings, guides
 from seqmap.functions import sequences as q
 from seqmap.operators import candidates, cigar, counting, index, pairing, probe, strategies, verify
 from seqmap.plans import mapper
+from seqmap.session import cut, shared_dir
 
 K, LOW, HIGH = 24, 53, 79
 PARAMS = strategies.MapParams(k=K, low=LOW, high=HIGH)
@@ -121,11 +124,41 @@ def _guide_query(guide: str) -> Query:
     return run
 
 
-for _name, _guide in (("guide_tuple_xx", "XX"), ("guide_tuple_xyx", "XYX"), ("guide_tuple_xxx", "XXX"), ("guide_tuple_xxyy", "XXYY"), ("guide_tuple_pal4", "PAL4"), ("guide_state_xxxp", "XXX+"), ("guide_state_xyx", "X?X"), ("guide_state_palindrome", "palindrome")):
-    QUERIES[_name] = _guide_query(_guide)
+def _guide_sql(event: str, ahead: int, step: int, tuples: bool, levels: int = 15) -> str:
+    """The guides' rule without a scan: where one leads to is known for every place, and the places that are reached from 0 are found by doubling steps.
+
+    event: what stands at a place from which the guide is `ahead` letters off. Steps by length come after 24 letters.
+    """
+    room = "q + {a} <= i + 24 AND q + {a} < n" if tuples else "q + {a} < i + 24 AND q + {a} <= n - {k}"
+    by_length = "i + 24 < n" if tuples else f"i + 23 <= n - {K + 1}"
+    room = room.format(a=ahead, k=K + 1)
+    jumps = ", ".join(f"j{x} AS MATERIALIZED (SELECT a.id, a.i, b.dest FROM j{x - 1} a JOIN j{x - 1} b ON a.id = b.id AND a.dest = b.i)" for x in range(1, levels))
+    reached = ", ".join(f"r{x + 1} AS (SELECT id, i FROM r{x} UNION ALL SELECT r.id, j.dest FROM r{x} r JOIN j{x} j ON r.id = j.id AND r.i = j.i)" for x in range(levels))
+    return f"""WITH {_CONTIGS}, l AS (SELECT contig_id AS id, seq AS s, length(seq) AS n, unnest(range(length(seq))) AS i FROM contigs),
+c AS (SELECT id, n, i, substr(s, CAST(i AS INT) + 1, 1) AS a, substr(s, CAST(i AS INT) + 2, 1) AS b, substr(s, CAST(i AS INT) + 3, 1) AS c, substr(s, CAST(i AS INT) + 4, 1) AS d FROM l),
+e AS (SELECT id, n, i, min(CASE WHEN {event} THEN i END) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM c),
+t AS (SELECT id, n, i, CASE WHEN {room} THEN q + {ahead} WHEN {by_length} THEN i + {step} END AS dest, NOT coalesce({room}, false) AS longer FROM e),
+j0 AS MATERIALIZED (SELECT id, i, dest, longer FROM t WHERE i <= n - {K + 1} AND dest <= n - {K + 1}), {jumps}, r0 AS (SELECT contig_id AS id, CAST(0 AS BIGINT) AS i FROM contigs), {reached}
+SELECT id, count(*) AS guides, count(*) FILTER (WHERE longer) AS by_length, CAST(sum(dest) AS BIGINT) AS places FROM j0 JOIN r{levels} USING (id, i) GROUP BY id"""
+
+
+for _name, _guide, _event, _ahead, _step in (
+    ("guide_tuple_xx", "XX", "a = b", 2, 12),
+    ("guide_tuple_xyx", "XYX", "a = c AND a <> b AND b <> ''", 3, 8),
+    ("guide_tuple_xxx", "XXX", "a = b AND b = c", 3, 8),
+    ("guide_tuple_xxyy", "XXYY", "a = b AND b <> c AND c = d", 4, 6),
+    ("guide_tuple_pal4", "PAL4", "a = d AND b = c", 4, 6),
+    ("guide_state_xxxp", "XXX+", "a = b AND b = c AND d NOT IN (c, '')", 3, 8),
+    ("guide_state_xyx", "X?X", "a = c", 3, 8),
+    ("guide_state_palindrome", "palindrome", "a <> b AND b = c AND a = d", 4, 8),
+):
+    query(_name, _guide_sql(_event, _ahead, _step, "tuple" in _name))(_guide_query(_guide))
+
 
+_HEADS = "l AS (SELECT {id}, seq, length(seq) AS n, unnest(range(1, length(seq) + 1)) AS i FROM {t}), h AS (SELECT * FROM l WHERE i = 1 OR substr(seq, CAST(i AS INT), 1) <> substr(seq, CAST(i AS INT) - 1, 1))"
 
-@query("homopolymer_runs")
+
+@query("homopolymer_runs", f"WITH {_CONTIGS}, {_HEADS.format(id='contig_id', t='contigs')}, r AS (SELECT contig_id, coalesce(lead(i) OVER (PARTITION BY contig_id ORDER BY i), n + 1) - i AS size FROM h) SELECT CAST(size AS INT) AS n, count(*) AS runs, count(DISTINCT contig_id) AS contigs FROM r GROUP BY 1")
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     runs = F.regexp_extract_all("seq", F.lit(r"((.)\2*)"), F.lit(1))
     one = contigs(spark, d).select("contig_id", F.explode(F.transform(runs, F.length)).alias("n"))
@@ -152,7 +185,13 @@ for _name, _k, _sql in (
     ("swap", 12, _KEY.format(w="(" + " || ".join(f"substr(w, {i}, 1)" for i in range(1, 12, 2)) + ")")),
 ):
     query(f"key_{_name}", _key_sql(_k, _sql))(_key_query(_name, _k))
-QUERIES["key_hpc"] = _key_query("hpc", 12)
+query(
+    "key_hpc",
+    f"""WITH {_READS}, {_HEADS.format(id='read_num', t='reads')}, o AS (SELECT *, row_number() OVER (PARTITION BY read_num ORDER BY i) AS run, coalesce(lead(i) OVER (PARTITION BY read_num ORDER BY i), n + 1) AS stop FROM h),
+s AS (SELECT read_num, string_agg(substr(seq, CAST(i AS INT), 1), '' ORDER BY i) AS rs FROM h GROUP BY read_num), w AS (SELECT o.*, substr(rs, CAST(run AS INT), 12) AS w FROM o JOIN s USING (read_num)),
+k AS (SELECT read_num, n, i, stop, CAST((strpos('ACGT', w[1]) - 1) * list_product([strpos(replace('ACGT', w[x], ''), w[x + 1]) for x in range(1, 12)]) AS BIGINT) AS key FROM w WHERE length(w) = 12),
+p AS (SELECT read_num, n, unnest(range(i - 1, stop - 1)) AS pos, key FROM k) SELECT read_num, pos, key FROM p WHERE pos < n - 13""",
+)(_key_query("hpc", 12))
 
 # ---- the index
 
@@ -202,11 +241,11 @@ def _heavy(spark: SparkSession, d: str) -> DataFrame:
     return index.drop_heavy_keys(all_sizes(spark, d), 20).agg(F.count(F.lit(1)).alias("keys"), F.sum("size").alias("places"), F.max("size").alias("most"))
 
 
-@query("locate_contig", f"WITH {_CONTIGS}, g AS (SELECT unnest(range(0, (SELECT CAST(sum(size) AS BIGINT) FROM placed), 997)) AS gpos) SELECT gpos, contig_id, gpos - start AS cpos FROM g JOIN placed ON gpos >= start AND gpos < start + size")
+@query("locate_contig", f"WITH {_CONTIGS}, {_POST} SELECT contig_id, count(*) AS n, CAST(sum(cpos) AS BIGINT) AS places FROM post GROUP BY contig_id")
 def _locate(spark: SparkSession, d: str) -> DataFrame:
     c = contigs(spark, d)
-    total = c.agg(F.max("end")).first()[0]
-    return index.locate_contig(spark.range(0, total, 997).withColumnRenamed("id", "gpos"), c).select("gpos", "contig_id", "cpos")
+    found = index.locate_contig(index.postings(c, K).select("gpos"), c.select("contig_id", "start", "end"))
+    return found.groupBy("contig_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cpos").alias("places"))
 
 
 # ---- reads and hits
@@ -229,34 +268,35 @@ def _rank(spark: SparkSession, d: str) -> DataFrame:
     return probe.sized(keys, sizes).select("read_num", F.col("strand").cast("int").alias("strand"), "rpos", "size", F.col("size_rank").cast("long").alias("size_rank"))
 
 
-_TARGET = "targets AS (SELECT DISTINCT read_num AS id, key, 1000 * read_num AS target FROM rk WHERE strand = 0)"
+_TARGET = "targets AS (SELECT DISTINCT 2 * read_num + strand AS id, key, 1000 * read_num AS target FROM rk)"
 
 
 @query("nearest_posting", f"{_ALL}, {_TARGET}, r AS (SELECT id, key, target, gpos, row_number() OVER (PARTITION BY id, key, target ORDER BY abs(gpos - target), gpos) AS n FROM targets JOIN post USING (key) WHERE abs(gpos - target) <= 100000) SELECT id, key, target, gpos FROM r WHERE n = 1")
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    keys = probe.read_keys(reads(spark, d), K).where("strand = 0")
-    t = keys.select(F.col("read_num").alias("id"), "key", (F.col("read_num") * 1000).alias("target")).distinct()
+    keys = probe.read_keys(reads(spark, d), K)
+    t = keys.select((2 * F.col("read_num") + F.col("strand")).alias("id"), "key", (F.col("read_num") * 1000).alias("target")).distinct()
     return probe.nearest_posting(t, index.postings(contigs(spark, d), K, only=t), 100000)
 
 
-_A = "a AS (SELECT read_num, strand, contig_id, gpos FROM hits WHERE key_idx = 0), b AS (SELECT read_num, strand, contig_id, gpos AS gpos2 FROM hits WHERE key_idx = 30)"
+_A = "a AS (SELECT DISTINCT read_num, strand, contig_id, key_idx, gpos FROM hits), b AS (SELECT read_num, strand, contig_id, key_idx - 1 AS key_idx, gpos AS gpos2 FROM a)"
+_ON = ["read_num", "strand", "contig_id", "key_idx"]
 
 
-def _ends(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    h = hits(spark, d).withColumn("strand", F.col("strand").cast("int"))
-    on = ["read_num", "strand", "contig_id"]
-    return h.where("key_idx = 0").select(*on, "gpos"), h.where("key_idx = 30").select(*on, F.col("gpos").alias("gpos2"))
+def _neighbours(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Places of all keys, and of the keys after them under the number of the key before."""
+    h = hits(spark, d).select("read_num", F.col("strand").cast("int").alias("strand"), "contig_id", F.col("key_idx").cast("long").alias("key_idx"), "gpos").distinct()
+    return h, h.select("read_num", "strand", "contig_id", (F.col("key_idx") - 1).alias("key_idx"), F.col("gpos").alias("gpos2"))
 
 
-@query("band_join", f"{_ALL}, {_A} SELECT read_num, strand, contig_id, gpos, gpos2 FROM a JOIN b USING (read_num, strand, contig_id) WHERE abs(gpos - gpos2) <= 33")
+@query("band_join", f"{_ALL}, {_A} SELECT read_num, strand, contig_id, key_idx, gpos, gpos2 FROM a JOIN b USING (read_num, strand, contig_id, key_idx) WHERE abs(gpos - gpos2) <= 33")
 def _band(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.band_join(*_ends(spark, d), ["read_num", "strand", "contig_id"], 33)
+    return candidates.band_join(*_neighbours(spark, d), _ON, 33)
 
 
-@query("band_refine", f"{_ALL}, {_A}, m AS (SELECT DISTINCT read_num, strand, contig_id, gpos FROM a JOIN b USING (read_num, strand, contig_id) WHERE abs(gpos - gpos2) <= 33) SELECT * FROM m UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.read_num = a.read_num AND m.strand = a.strand AND m.contig_id = a.contig_id)")
+@query("band_refine", f"{_ALL}, {_A}, m AS (SELECT DISTINCT read_num, strand, contig_id, key_idx, gpos FROM a JOIN b USING (read_num, strand, contig_id, key_idx) WHERE abs(gpos - gpos2) <= 33) SELECT * FROM m UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.read_num = a.read_num AND m.strand = a.strand AND m.contig_id = a.contig_id AND m.key_idx = a.key_idx)")
 def _refine(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _ends(spark, d)
-    return candidates.band_refine(a, b.withColumnRenamed("gpos2", "gpos"), ["read_num", "strand", "contig_id"], 33)
+    a, b = _neighbours(spark, d)
+    return candidates.band_refine(a, b.withColumnRenamed("gpos2", "gpos"), _ON, 33)
 
 
 @query("distinct_diag", f"{_ALL}, r AS (SELECT read_num, strand, diag, rpos, gpos, row_number() OVER (PARTITION BY read_num, strand, diag ORDER BY rpos, gpos) AS n FROM hits) SELECT read_num, strand, diag, rpos, gpos FROM r WHERE n = 1")
@@ -320,10 +360,10 @@ def _blast(spark: SparkSession, d: str) -> DataFrame:
     return strategies.STRATEGIES["x"].run(a_probe(spark, d)).select("read_num", F.col("strand").cast("int").alias("strand"), "contig_id", "diag", "votes")
 
 
-@query("sweep_window", f"{_ALL}, a AS (SELECT DISTINCT read_num, strand, gpos, len FROM hits WHERE size <= 20) SELECT a.read_num, a.strand, a.gpos, count(DISTINCT b.key_idx) AS keys FROM a JOIN hits b ON a.read_num = b.read_num AND a.strand = b.strand AND b.size <= 20 AND b.gpos >= a.gpos AND b.gpos <= a.gpos + 2 * a.len GROUP BY ALL")
+@query("sweep_window", f"{_ALL}, a AS (SELECT DISTINCT read_num, strand, gpos, len FROM hits WHERE size < {LOW}) SELECT a.read_num, a.strand, a.gpos, count(DISTINCT b.key_idx) AS keys FROM a JOIN hits b ON a.read_num = b.read_num AND a.strand = b.strand AND b.size < {LOW} AND b.gpos >= a.gpos AND b.gpos <= a.gpos + 2 * a.len GROUP BY ALL")
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
     p = a_probe(spark, d)
-    return strategies.sweep_votes(p.hits.where("size <= 20"), p.reads).select("read_num", F.col("strand").cast("int").alias("strand"), "gpos", "keys")
+    return strategies.sweep_votes(p.hits.where(F.col("size") < LOW), p.reads).select("read_num", F.col("strand").cast("int").alias("strand"), "gpos", "keys")
 
 
 def _strategy_query(letter: str) -> Query:
@@ -453,7 +493,8 @@ def _sam_rows(spark: SparkSession, d: str) -> DataFrame:
     return _sam(spark, d)
 
 
-@query("unmapped_split", f"{_MATES}, c AS (SELECT class, count(*) AS n FROM cls GROUP BY class) SELECT CAST(coalesce(sum(2 * n) FILTER (WHERE class = 'Unmapped'), 0) AS BIGINT) AS aside FROM c")
+@query("unmapped_split", f"""{_MATES}, c AS (SELECT CAST(2 * count(*) AS BIGINT) AS n, CAST(2 * count(*) FILTER (WHERE class IN ('R1', 'R2', 'Unmapped')) AS BIGINT) AS part, CAST(2 * count(*) FILTER (WHERE class = 'Unmapped') AS BIGINT) AS lost FROM cls)
+SELECT mode, n - CASE mode WHEN 0 THEN 0 WHEN 1 THEN part WHEN 2 THEN lost WHEN 3 THEN part ELSE lost END AS stay, CASE mode WHEN 1 THEN part WHEN 2 THEN lost ELSE 0 END AS aside FROM c, (SELECT CAST(unnest(range(5)) AS INT) AS mode)""")
 def _split(spark: SparkSession, d: str) -> DataFrame:
     p = _mate_places(spark, d).select("read_num", "mate").distinct()
     rd = mates(spark, d).select("read_num", "mate")
@@ -461,8 +502,42 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     other = placed.select("read_num", (3 - F.col("mate")).cast("tinyint").alias("mate"), F.col("here").alias("there"))
     rows = rd.join(placed, ["read_num", "mate"], "left").join(other, ["read_num", "mate"], "left")
     flags = F.lit(pairing.PAIRED) + F.when(F.col("here").isNull(), pairing.UNMAPPED).otherwise(0) + F.when(F.col("there").isNull(), pairing.MATE_UNMAPPED).otherwise(0)
-    _, aside = pairing.route_unmapped(rows.withColumn("flag", flags), 2)
-    return aside.agg(F.count(F.lit(1)).alias("aside"))
+    rows = cut(rows.withColumn("flag", flags))
+    parts = [(mode, *pairing.route_unmapped(rows, mode)) for mode in range(5)]
+    every = [x.select(F.lit(mode).alias("mode"), F.lit(k).alias("k")) for mode, *two in parts for k, x in enumerate(two)]
+    n = fold(DataFrame.unionByName, every).groupBy("mode").agg(F.sum(1 - F.col("k")).alias("stay"), F.sum("k").alias("aside"))
+    return spark.range(5).select(F.col("id").cast("int").alias("mode")).join(n, "mode", "left").select("mode", F.coalesce("stay", F.lit(0)).cast("long").alias("stay"), F.coalesce("aside", F.lit(0)).cast("long").alias("aside"))
+
+
+def _searched(spark: SparkSession, d: str, mate: int, rd: DataFrame, p: strategies.Probe, places: DataFrame) -> DataFrame:
+    return pairing.mate_search(places.where(F.col("mate") == mate), p.hits.where(F.col("mate") == 3 - mate), p.reads, p.contigs, strategies.reach(p))
+
+
+@query("pair_tree", f"""{_MATES}, near_by AS (SELECT DISTINCT a.read_num, a.mate FROM pl a JOIN e b ON a.read_num = b.read_num AND a.contig_id = b.contig_id AND a.mate <> b.mate AND a.strand <> b.strand
+WHERE b.err < b.len / 2 AND greatest(a.start + a.len, b.start + b.len) - least(a.start, b.start) <= 1500)
+SELECT read_num, CASE WHEN 1 IN (SELECT mate FROM near_by n WHERE n.read_num = r.read_num) THEN 'R1R2' WHEN 2 IN (SELECT mate FROM near_by n WHERE n.read_num = r.read_num) THEN 'R2R1'
+WHEN p1 AND p2 THEN 'Trans' WHEN p1 THEN 'R1' WHEN p2 THEN 'R2' ELSE 'Unmapped' END AS class
+FROM (SELECT read_num, EXISTS (SELECT 1 FROM pl WHERE pl.read_num = reads.read_num AND mate = 1) AS p1, EXISTS (SELECT 1 FROM pl WHERE pl.read_num = reads.read_num AND mate = 2) AS p2 FROM reads) r""")
+def _pair_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The mate is searched near the places of mate 1, and for pairs without any near those of mate 2."""
+    rd = mates(spark, d)
+    p, places = a_probe(spark, d, rd), _mate_places(spark, d)
+    one = _searched(spark, d, 1, rd, p, places)
+    two = _searched(spark, d, 2, rd, p, places).join(one.select("read_num").distinct(), "read_num", "left_anti")
+    return pairing.classes(rd, places, one.select("read_num", "a_mate").unionByName(two.select("read_num", "a_mate")))
+
+
+_OTHER_NAME = "CASE WHEN item_id % 3 = 0 THEN 'x' ELSE 'r' END || item_id || '/2'"
+
+
+@query("paired_scan", f"SELECT item_id AS read_num, mate, CASE WHEN mate = 1 THEN 'r' || item_id || '/1' ELSE {_OTHER_NAME} END AS name, item_id % 3 = 0 AS warn FROM benchmark, (SELECT unnest([1, 2]) AS mate)")
+def _paired_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Two files of reads by number; every third name of the second differs."""
+    r = reads(spark, d).drop("mate")
+    n = F.col("read_num").cast("string")
+    one = r.withColumn("name", F.concat(F.lit("r"), n, F.lit("/1")))
+    two = r.withColumn("name", F.concat(F.when(F.col("read_num") % 3 == 0, "x").otherwise("r"), n, F.lit("/2")))
+    return probe.zip_mates(one, two).select("read_num", F.col("mate").cast("int").alias("mate"), "name", "warn")
 
 
 # ---- genes and exons: each document is a gene with exons of 120 letters every 100, twice in two transcripts
@@ -566,5 +641,27 @@ def _exon_tpm(spark: SparkSession, d: str) -> DataFrame:
     return counting.exon_tpm(e).select("gene_id", "exon_no", "reads", F.round("tpm", 4).alias("tpm"))
 
 
+@query("count_789")
+def _count(spark: SparkSession, d: str) -> DataFrame:
+    """The count verb from end to end: pseudo-genes, their index with exons, votes by three limits, counts of genes."""
+    placed = counting.layout(counting.distinct_exons(gtf(spark, d)))
+    genes = counting.pseudo_genes(placed, contigs(spark, d)).select(F.col("gene_id").alias("contig_id"), F.col("gene_id").cast("string").alias("name"), "seq")
+    built = index.build_index(cut(genes), K)
+    exons = placed.select((F.col("gene_id") * 100000 + F.col("exon_no")).alias("exon_id"), "gene_id", "phy_start", "phy_end")
+    own = index.postings(built.contigs, K, only=probe.read_keys(reads(spark, d), K))
+    won, by_gene, by_exon = mapper.count_reads(built, index.exon_postings(own, exons, K), reads(spark, d), params=PARAMS)
+    first = won.groupBy("gene_id").agg(F.min("func").alias("func"))
+    n = by_exon.groupBy("gene_id").agg(F.count(F.lit(1)).alias("exons"))
+    return by_gene.join(first, "gene_id").join(n, "gene_id", "left").select("gene_id", "reads", "func", "exons")
+
+
+@query("saved_index")
+def _saved(spark: SparkSession, d: str) -> DataFrame:
+    """An index that is built, written, read again and mapped with the limits of its own header."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}"
+    index.save_index(index.build_index(contigs(spark, d), K), path)
+    return mapper.map_reads(index.load_index(spark, path), reads(spark, d), "x4")
+
+
 FLAGSHIP = "best_location"
 GUIDES = guides.GUIDES

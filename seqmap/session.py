@@ -21,12 +21,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared checkpoint folder and goes on from there, so that stages' plans do not nest.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a local session without one gets its own under /tmp."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None)
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or "/tmp/checkpoints").rstrip("/")
+
 
-    The folder is the cluster's own (spark.checkpoint.dir); only sessions without one get one under /tmp.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared checkpoint folder and goes on from there, so that stages' plans do not nest."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(True)

@@ -31,7 +31,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["revcomp", "n_count", "guide_default", "key_plain", "key_gapped", "key_swap", "prefix_offsets", "key_histogram", "q95_limits", "locate_contig", "nearest_posting", "band_refine", "argmax_ties", "diag_vote", "diag_vote_low", "postings", "key_sizes", "probe_hits", "size_rank", "hamming_verify", "blast_like_x", "pair_within_insert", "gene_layout", "pseudo_genes", "gene_vote", "exon_tpm"])
+@pytest.mark.parametrize("name", ["revcomp", "n_count", "guide_default", "key_plain", "key_gapped", "key_swap", "prefix_offsets", "key_histogram", "q95_limits", "locate_contig", "nearest_posting", "band_refine", "argmax_ties", "diag_vote", "diag_vote_low", "postings", "key_sizes", "probe_hits", "size_rank", "hamming_verify", "blast_like_x", "guide_tuple_xx", "guide_tuple_xyx", "guide_tuple_xxx", "guide_tuple_xxyy", "guide_tuple_pal4", "guide_state_xxxp", "guide_state_xyx", "guide_state_palindrome", "homopolymer_runs", "key_hpc", "unmapped_split", "pair_tree", "paired_scan", "sweep_window", "band_join", "pair_within_insert", "gene_layout", "pseudo_genes", "gene_vote", "exon_tpm"])
 def test_matches_sql(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
     want = duck.execute(ORACLES[name]).df()
