@@ -27,11 +27,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each component of near duplicates; documents of null id all stay."""
+    """Keeps the document of least id of each component of near duplicates; documents of null id all stay.
+
+    Of rows with one id the least stays, by text and then the other columns, so a stage that is run again keeps the same.
+    """
     keep = near_components(docs).where("doc_id = component_id").select("doc_id")
     own = plain(docs, *COLUMNS)
-    known = own.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.union(own.where("doc_id is null"))
+    known = own.where("doc_id is not null").join(keep, "doc_id", "left_semi")
+    least = F.min(F.struct(*[F.col(c) for c in COLUMNS[1:]])).alias("least")
+    return known.groupBy("doc_id").agg(least).select("doc_id", "least.*").union(own.where("doc_id is null"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
