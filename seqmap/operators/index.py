@@ -44,6 +44,12 @@ def key_limits(mean_log10: float, sd_log10: float, q95: int) -> tuple[int, int]:
     return min(spread, q95), max(spread, q95)
 
 
+def spread(df: DataFrame, id_col: str) -> DataFrame:
+    """Deals out the rows of a table that is read in fewer tasks than would keep the cluster busy; a large one stays as it is read."""
+    want = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, id_col)
+
+
 def with_offsets(contigs: DataFrame) -> DataFrame:
     """Adds size and the half-open [start, end) on the concatenation of all contigs in order of contig_id.
 

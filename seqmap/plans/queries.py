@@ -53,7 +53,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def contigs(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = index.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id")
     return index.with_offsets(docs.select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), q.from_text(F.col("text")).alias("seq")))
 
 
