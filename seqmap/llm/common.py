@@ -13,6 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqmap.session import shared_dir
+
 #: Bytes of text that one vectorised step holds at once (a longer document is one step).
 STEP_BYTES = 1 << 21
 
@@ -21,12 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; local runs without one use /tmp/checkpoints."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found or "/tmp/checkpoints"
-
-
 class Scratch:
     """Intermediate tables of one operator.
 
@@ -36,7 +32,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.kept: dict[str, DataFrame] = {}
         self.saved: set[str] = set()
 
