@@ -115,23 +115,31 @@ class View:
         return self.bias + np.bincount(row, self.weights[col], n) + np.clip((stats - self.centre) / self.spread, -8, 8) @ self.dense
 
 
+def _parts(rows: list[np.ndarray], size: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, feature) of some rows at a time, so that the driver never holds all in wide numbers."""
+    for i in range(0, len(rows), size):
+        part = rows[i : i + size]
+        yield np.repeat(np.arange(i, i + len(part)), [len(r) for r in part]), np.concatenate(part).astype(np.int64)
+
+
 def fit(rows: list[np.ndarray], stats: np.ndarray, y: np.ndarray, epochs: int = 150, rate: float = 0.05, l2: float = 1e-4) -> View:
     """Logistic regression by Adam over all rows.
 
     A feature stands with its naive-Bayes log ratio; those of too few rows, or too near to independence, are left out.
     """
     n = len(y)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    col = np.concatenate(rows).astype(np.int64) if n else np.zeros(0, np.int64)
     share = np.clip(y.mean(), 0.01, 0.99) if n else 0.5
-    df, hits = np.bincount(col, minlength=WIDTH), np.bincount(col, y[row], WIDTH)
+    df, hits = np.zeros(WIDTH, np.int64), np.zeros(WIDTH)
+    for row, col in _parts(rows):
+        df += np.bincount(col, minlength=WIDTH)
+        hits += np.bincount(col, y[row], WIDTH)
     z = (hits - share * df) / np.sqrt(df * share * (1 - share) + 1e-9)
     used = np.flatnonzero((df >= LEAST_DF) & (np.abs(z) >= LEAST_Z))
     ratio = np.log((hits[used] + 0.5) / (share * n + 1)) - np.log((df[used] - hits[used] + 0.5) / ((1 - share) * n + 1))
     place = np.full(WIDTH, -1)
     place[used] = np.arange(len(used))
-    ok = place[col] >= 0
-    row, col = row[ok], place[col[ok]]
+    kept = [(row[place[col] >= 0], place[col][place[col] >= 0]) for row, col in _parts(rows)]
+    row, col = (np.concatenate(x) if kept else np.zeros(0, np.int64) for x in (zip(*kept) if kept else ((), ())))
     value = ratio[col]
     centre, spread = (stats.mean(0), stats.std(0) + 1e-6) if n else (np.zeros(stats.shape[1]), np.ones(stats.shape[1]))
     z = np.clip((stats - centre) / spread, -8, 8)
@@ -159,9 +167,8 @@ class Model:
 
 
 def _logits(view: View, rows: list[np.ndarray], stats: np.ndarray) -> np.ndarray:
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-    return view.logits(row, col, stats)
+    out = [view.logits(row - row0, col, stats[row0 : row0 + 512]) for row0, (row, col) in zip(range(0, len(rows), 512), _parts(rows))]
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
