@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqmap.functions.sequences import revcomp
+from seqmap.operators.index import prefix_offsets
 
 GAP = 3
 
@@ -54,6 +55,25 @@ def pseudo_genes(placed: DataFrame, contigs: DataFrame) -> DataFrame:
     return e.groupBy("gene_id").agg(F.array_join(parts, "N" * GAP).alias("seq"))
 
 
+def exon_table(placed: DataFrame) -> DataFrame:
+    """The exons of a layout with exon_id, their number over all genes from 0 in order of gene and exon."""
+    n = placed.groupBy(F.col("gene_id").alias("key")).agg(F.count(F.lit(1)).alias("size"))
+    first = prefix_offsets(n).select(F.col("key").alias("gene_id"), F.col("offset").alias("_first"))
+    return placed.join(first, "gene_id").withColumn("exon_id", F.col("_first") + F.col("exon_no") - 1).drop("_first")
+
+
+def save_exons(exons: DataFrame, transcripts: DataFrame, path: str) -> None:
+    """Tables of exons, in order of exon_id, and of transcripts."""
+    exons.repartitionByRange("exon_id").sortWithinPartitions("exon_id").write.mode("overwrite").parquet(f"{path}/exons")
+    transcripts.write.mode("overwrite").parquet(f"{path}/transcripts")
+
+
+def load_exons(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(exons, transcripts, first exon and number of exons of each gene)."""
+    exons, own = (spark.read.parquet(f"{path}/{t}") for t in ("exons", "transcripts"))
+    return exons, own, exons.groupBy("gene_id").agg(F.min("exon_id").alias("first_exon"), F.count(F.lit(1)).alias("exons"))
+
+
 def effective_size(exons: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """Places of a gene that an exon covers: islands of overlapping intervals, then their lengths."""
     by = W.partitionBy("gene_id").orderBy(start, end)

@@ -194,6 +194,12 @@ def prefix_offsets(sizes: DataFrame) -> DataFrame:
     return s.join(ranges, "_r").select("key", "size", (F.col("_base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("offset"))
 
 
+def size_dump(sizes: DataFrame, total_keys: int) -> DataFrame:
+    """(key, size) of every key that there can be, 0 for those without postings."""
+    every = sizes.sparkSession.range(total_keys).withColumnRenamed("id", "key")
+    return every.join(sizes, "key", "left").select("key", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+
+
 def drop_heavy_keys(sizes: DataFrame, limit: int) -> DataFrame:
     return sizes.where(F.col("size") < limit)
 

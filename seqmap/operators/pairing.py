@@ -79,6 +79,21 @@ def summary(classed: DataFrame) -> DataFrame:
     return n.withColumn("percent", F.round(F.col("reads") * 100.0 / F.sum("reads").over(W.partitionBy()), 4))
 
 
+def strategy_summary(reads: DataFrame, placed: DataFrame, letters: str) -> DataFrame:
+    """(func, calls, hits, percent_hit, percent_fail) of each letter of a cascade that stops: a letter gets the reads that those before it left.
+
+    reads: (read_num, mate) of usable reads; placed: map_reads' rows. Only counts by letter meet in one task.
+    """
+    hits = placed.groupBy("func").agg(F.countDistinct("read_num", "mate").alias("hits"))
+    order = reads.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(letters))), "_i int, func string")
+    total = reads.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    out = order.join(hits, "func", "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long")).crossJoin(F.broadcast(total))
+    before = F.coalesce(F.sum("hits").over(W.orderBy("_i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = out.withColumn("calls", F.col("_all") - before)
+    hit = F.col("hits") * 100.0 / F.when(F.col("calls") > 0, F.col("calls"))
+    return out.select("func", "calls", "hits", F.round(hit, 3).alias("percent_hit"), F.round(100 - hit, 3).alias("percent_fail"))
+
+
 def flag(paired: Column, mapped: Column, mate_mapped: Column, strand: Column, mate_strand: Column, mate: Column, strict: bool = False, proper: Column | None = None) -> Column:
     """The flag of a row. By default a mapped row counts as properly paired, also of single reads and far mates; strict keeps to the format's meaning."""
     bit = lambda c, b: F.when(c, b).otherwise(0)

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from seqmap.functions import encodings, guides
 from seqmap.functions import sequences as q
-from seqmap.operators import candidates, cigar, counting, index, pairing, probe, strategies, verify
+from seqmap.operators import candidates, cigar, counting, genome, index, pairing, probe, strategies, verify
 from seqmap.plans import mapper
 from seqmap.session import cut, shared_dir
+from seqmap.sources import sinks
 
 K, LOW, HIGH = 24, 53, 79
 PARAMS = strategies.MapParams(k=K, low=LOW, high=HIGH)
@@ -165,6 +166,52 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return one.groupBy("n").agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("contig_id").alias("contigs"))
 
 
+_STATES = " UNION ALL ".join(f"SELECT '{g}' AS guide, CAST(sum(guides - by_length) AS BIGINT) AS by_rule, CAST(sum(by_length) AS BIGINT) AS by_length, round(sum(guides - by_length) / sum(guides), 3) AS share FROM (SELECT * FROM ({_guide_sql(event, ahead, 8, False)}))" for g, event, ahead in (("XXX+", "a = b AND b = c AND d NOT IN (c, '')", 3), ("X?X", "a = c", 3), ("palindrome", "a <> b AND b = c AND a = d", 4)))
+
+
+@query("state_totals", _STATES)
+def _state_totals(spark: SparkSession, d: str) -> DataFrame:
+    return fold(DataFrame.unionByName, [genome.guide_totals(contigs(spark, d), K, g) for g in ("XXX+", "X?X", "palindrome")])
+
+
+_NSEQ = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTANGTACGTACGTAC')"
+
+
+def n_contigs(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs in which the texts' n stays N."""
+    docs = index.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id")
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTANGTACGTACGTAC")
+    return docs.select(F.col("doc_id").alias("contig_id"), letters.alias("seq"))
+
+
+@query("n_runs", f"""WITH c AS (SELECT doc_id AS contig_id, {_NSEQ} AS seq FROM documents), l AS (SELECT contig_id, seq, unnest(range(length(seq))) AS i FROM c), n AS (SELECT contig_id, i, i - row_number() OVER (PARTITION BY contig_id ORDER BY i) AS isle FROM l WHERE substr(seq, CAST(i AS INT) + 1, 1) = 'N')
+SELECT contig_id, min(i) AS start, count(*) AS size FROM n GROUP BY contig_id, isle""")
+def _n_runs(spark: SparkSession, d: str) -> DataFrame:
+    return genome.n_runs(n_contigs(spark, d))
+
+
+@query("extract_with_n", f"""WITH c AS (SELECT doc_id AS contig_id, {_NSEQ} AS seq FROM documents), p AS (SELECT contig_id, seq, unnest(range(0, length(seq), 100)) AS cpos FROM c)
+SELECT contig_id, cpos, translate(reverse(substr(seq, CAST(cpos AS INT) + 1, 120)), 'ACGT', 'TGCA') AS part FROM p""")
+def _extract(spark: SparkSession, d: str) -> DataFrame:
+    """Every 100 letters the next 120, from contigs without N and the runs, as reverse complement."""
+    c = n_contigs(spark, d)
+    size = F.length("seq").cast("long")
+    places = c.where("seq <> ''").select("contig_id", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), size - 1, F.lit(100).cast("long"))).alias("cpos"))
+    places = places.select((F.col("contig_id") * (1 << 32) + F.col("cpos")).alias("place_id"), "contig_id", "cpos", F.least(F.lit(120), F.col("size") - F.col("cpos")).alias("n"))
+    return genome.extract(places, genome.packed(c), genome.n_runs(c), 120, reverse=True).select("contig_id", "cpos", "part")
+
+
+@query("contigs_by_number", f"WITH {_CONTIGS} SELECT '>d' || contig_id || chr(10) || rtrim(regexp_replace(seq, '(.{{80}})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM contigs WHERE contig_id BETWEEN 19 AND 21")
+def _by_number(spark: SparkSession, d: str) -> DataFrame:
+    """The 20th to the 22nd contig as text in lines of 80 letters; the choice of three is the feature."""
+    return sinks.fasta(genome.by_number(contigs(spark, d), 19, 21))
+
+
+@query("sequence_lengths", "SELECT item_id AS read_num, CAST(length('r' || item_id) AS BIGINT) AS name_len, CAST(0 AS BIGINT) AS comment_len, CAST(length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS BIGINT) AS seq_len, CAST(0 AS BIGINT) AS qual_len FROM benchmark")
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    return genome.lengths(reads(spark, d))
+
+
 def _key_query(name: str, k: int) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return index.keys_of(reads(spark, d), "read_num", "seq", k, name).select(F.col("id").alias("read_num"), "pos", "key")
@@ -226,6 +273,12 @@ def _histogram(spark: SparkSession, d: str) -> DataFrame:
     return index.size_histogram(all_sizes(spark, d), index.total_keys("bitwise", K))
 
 
+@query("size_dump", f"WITH {_CONTIGS}, {_POST} SELECT r // 65536 AS range, count(*) AS keys, count(*) FILTER (WHERE size IS NULL) AS empty, CAST(coalesce(sum(size), 0) AS BIGINT) AS places FROM range({1 << K}) t(r) LEFT JOIN sizes ON key = r GROUP BY 1")
+def _size_dump(spark: SparkSession, d: str) -> DataFrame:
+    dump = index.size_dump(all_sizes(spark, d), index.total_keys("bitwise", K))
+    return dump.groupBy(F.floor(F.col("key") / 65536).alias("range")).agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("size") == 0).alias("empty"), F.sum("size").alias("places"))
+
+
 @query("key_stats", f"WITH {_CONTIGS}, {_POST} SELECT count(*) AS keys, round(avg(log10(size)), 6) AS mean_log10, round(stddev_samp(log10(size)), 6) AS sd_log10 FROM sizes")
 def _stats(spark: SparkSession, d: str) -> DataFrame:
     return index.key_stats(all_sizes(spark, d)).select("keys", F.round("mean_log10", 6).alias("mean_log10"), F.round("sd_log10", 6).alias("sd_log10"))
@@ -389,6 +442,13 @@ def the_index(spark: SparkSession, d: str) -> index.Index:
     return index.Index(index.IndexMeta(K, "bitwise", "default", 0, 0.0, 0.0, 200), c, p, index.key_sizes(p))
 
 
+@query("strategy_figures")
+def _figures(spark: SparkSession, d: str) -> DataFrame:
+    rd = reads(spark, d)
+    got = mapper.map_reads(the_index(spark, d), rd, "x4s", params=PARAMS)
+    return pairing.strategy_summary(probe.prepared(rd, K).where("usable").select("read_num", "mate"), got, "x4s")
+
+
 @query("cascade_x4s")
 def _cascade(spark: SparkSession, d: str) -> DataFrame:
     return mapper.map_reads(the_index(spark, d), reads(spark, d), "x4s", params=PARAMS)
@@ -493,16 +553,25 @@ def _sam_rows(spark: SparkSession, d: str) -> DataFrame:
     return _sam(spark, d)
 
 
+def _flagged(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each mate with the flags of unmapped ones."""
+    placed = _mate_places(spark, d).select("read_num", "mate").distinct().withColumn("here", F.lit(True))
+    other = placed.select("read_num", (3 - F.col("mate")).cast("tinyint").alias("mate"), F.col("here").alias("there"))
+    rows = mates(spark, d).join(placed, ["read_num", "mate"], "left").join(other, ["read_num", "mate"], "left")
+    flags = F.lit(pairing.PAIRED) + F.when(F.col("here").isNull(), pairing.UNMAPPED).otherwise(0) + F.when(F.col("there").isNull(), pairing.MATE_UNMAPPED).otherwise(0)
+    return rows.select("read_num", "mate", F.col("name").alias("qname"), "seq", F.lit("*").alias("qual"), flags.alias("flag"))
+
+
+@query("unmapped_text", f"{_MATES} SELECT '@r' || read_num || chr(10) || seq || chr(10) || '+' || chr(10) || '*' AS value FROM third JOIN cls USING (read_num) WHERE class IN ('R1', 'R2', 'Unmapped')")
+def _unmapped_text(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with an unmapped mate, as the file of unmapped reads has them."""
+    return sinks.unmapped_fastq(pairing.route_unmapped(_flagged(spark, d), 1)[1])
+
+
 @query("unmapped_split", f"""{_MATES}, c AS (SELECT CAST(2 * count(*) AS BIGINT) AS n, CAST(2 * count(*) FILTER (WHERE class IN ('R1', 'R2', 'Unmapped')) AS BIGINT) AS part, CAST(2 * count(*) FILTER (WHERE class = 'Unmapped') AS BIGINT) AS lost FROM cls)
 SELECT mode, n - CASE mode WHEN 0 THEN 0 WHEN 1 THEN part WHEN 2 THEN lost WHEN 3 THEN part ELSE lost END AS stay, CASE mode WHEN 1 THEN part WHEN 2 THEN lost ELSE 0 END AS aside FROM c, (SELECT CAST(unnest(range(5)) AS INT) AS mode)""")
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    p = _mate_places(spark, d).select("read_num", "mate").distinct()
-    rd = mates(spark, d).select("read_num", "mate")
-    placed = p.withColumn("here", F.lit(True))
-    other = placed.select("read_num", (3 - F.col("mate")).cast("tinyint").alias("mate"), F.col("here").alias("there"))
-    rows = rd.join(placed, ["read_num", "mate"], "left").join(other, ["read_num", "mate"], "left")
-    flags = F.lit(pairing.PAIRED) + F.when(F.col("here").isNull(), pairing.UNMAPPED).otherwise(0) + F.when(F.col("there").isNull(), pairing.MATE_UNMAPPED).otherwise(0)
-    rows = cut(rows.withColumn("flag", flags))
+    rows = cut(_flagged(spark, d).select("read_num", "mate", "flag"))
     parts = [(mode, *pairing.route_unmapped(rows, mode)) for mode in range(5)]
     every = [x.select(F.lit(mode).alias("mode"), F.lit(k).alias("k")) for mode, *two in parts for k, x in enumerate(two)]
     n = fold(DataFrame.unionByName, every).groupBy("mode").agg(F.sum(1 - F.col("k")).alias("stay"), F.sum("k").alias("aside"))
@@ -586,6 +655,15 @@ def _pseudo(spark: SparkSession, d: str) -> DataFrame:
     return counting.pseudo_genes(placed, contigs(spark, d)).select("gene_id", F.md5("seq").alias("seq"))
 
 
+@query("exon_tables", f"{_LAYOUT}, n AS (SELECT gene_id, exon_no, row_number() OVER (ORDER BY gene_id, exon_no) - 1 AS exon_id FROM l) SELECT gene_id, min(exon_id) AS first_exon, count(*) AS exons, CAST(2 AS BIGINT) AS transcripts FROM n GROUP BY gene_id")
+def _exon_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Exon and transcript tables that are written, read again and summed up by gene."""
+    path, g = f"{shared_dir(spark)}/exons-{uuid.uuid4().hex[:12]}", gtf(spark, d)
+    counting.save_exons(counting.exon_table(counting.layout(counting.distinct_exons(g))), counting.transcripts(g), path)
+    _, own, first = counting.load_exons(spark, path)
+    return first.join(own.groupBy("gene_id").agg(F.count(F.lit(1)).alias("transcripts")), "gene_id")
+
+
 @query("effective_size", f"{_EXONS} SELECT gene_id, CAST(max(\"end\") AS BIGINT) AS eff_size FROM exons GROUP BY gene_id")
 def _effective(spark: SparkSession, d: str) -> DataFrame:
     return counting.effective_size(counting.distinct_exons(gtf(spark, d)))
@@ -641,6 +719,20 @@ def _exon_tpm(spark: SparkSession, d: str) -> DataFrame:
     return counting.exon_tpm(e).select("gene_id", "exon_no", "reads", F.round("tpm", 4).alias("tpm"))
 
 
+@query("count_rows", f"{_WON} SELECT 'r' || read_num AS qname, CAST(66 + 16 * orientation AS INT) AS flag, gene_id AS rname, CAST(0 AS BIGINT) AS pos, CAST(score AS INT) AS mapq, len || 'M' AS cigar FROM won JOIN reads USING (read_num)")
+def _count_rows(spark: SparkSession, d: str) -> DataFrame:
+    return counting.count_rows(_won(spark, d), probe.prepared(reads(spark, d), K))
+
+
+@query("count_table", f"{_WON}, g AS (SELECT contig_id AS gene_id, size AS eff_size, (SELECT count(*) FROM won WHERE won.gene_id = placed.contig_id) AS reads FROM placed WHERE size > 0) SELECT gene_id, eff_size, reads, round(reads / eff_size * 1e6 / (SELECT sum(reads / eff_size) FROM g), 4) AS tpm FROM g")
+def _count_table(spark: SparkSession, d: str) -> DataFrame:
+    """The table of counts, written with tabs and read again."""
+    path = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex[:12]}"
+    sizes = contigs(spark, d).where("size > 0").select(F.col("contig_id").alias("gene_id"), F.col("size").alias("eff_size"))
+    sinks.write_counts(counting.gene_tpm(counting.gene_counts(_won(spark, d)), sizes), path)
+    return spark.read.csv(path, sep="\t", header=True, schema="gene_id long, eff_size long, reads long, tpm double").select("gene_id", "eff_size", "reads", "tpm")
+
+
 @query("count_789")
 def _count(spark: SparkSession, d: str) -> DataFrame:
     """The count verb from end to end: pseudo-genes, their index with exons, votes by three limits, counts of genes."""

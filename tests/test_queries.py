@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqmap.functions.sequences import mismatches, revcomp
-from seqmap.operators import counting, index, pairing, probe
+from seqmap.operators import counting, genome, index, pairing, probe
 from seqmap.operators.verify import hamming
 from seqmap.plans import mapper
 from seqmap.plans.queries import ORACLES, QUERIES
-from seqmap.sources.annotation import read_gtf
+from seqmap.sources.annotation import by_order, read_gtf
 from seqmap.sources.fastx import contigs_from, read_fastx, read_stored
 from seqmap.sources.sinks import base_name, fasta, sam_header, write_sam
 from seqmap.streaming.ingest import map_stream, read_stream
@@ -31,7 +31,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["revcomp", "n_count", "guide_default", "key_plain", "key_gapped", "key_swap", "prefix_offsets", "key_histogram", "q95_limits", "locate_contig", "nearest_posting", "band_refine", "argmax_ties", "diag_vote", "diag_vote_low", "postings", "key_sizes", "probe_hits", "size_rank", "hamming_verify", "blast_like_x", "guide_tuple_xx", "guide_tuple_xyx", "guide_tuple_xxx", "guide_tuple_xxyy", "guide_tuple_pal4", "guide_state_xxxp", "guide_state_xyx", "guide_state_palindrome", "homopolymer_runs", "key_hpc", "unmapped_split", "pair_tree", "paired_scan", "sweep_window", "band_join", "pair_within_insert", "gene_layout", "pseudo_genes", "gene_vote", "exon_tpm"])
+@pytest.mark.parametrize("name", ["revcomp", "n_count", "guide_default", "key_plain", "key_gapped", "key_swap", "prefix_offsets", "key_histogram", "q95_limits", "locate_contig", "nearest_posting", "band_refine", "argmax_ties", "diag_vote", "diag_vote_low", "postings", "key_sizes", "probe_hits", "size_rank", "hamming_verify", "blast_like_x", "guide_tuple_xx", "guide_tuple_xyx", "guide_tuple_xxx", "guide_tuple_xxyy", "guide_tuple_pal4", "guide_state_xxxp", "guide_state_xyx", "guide_state_palindrome", "homopolymer_runs", "key_hpc", "unmapped_split", "pair_tree", "paired_scan", "sweep_window", "band_join", "pair_within_insert", "gene_layout", "state_totals", "n_runs", "extract_with_n", "contigs_by_number", "sequence_lengths", "size_dump", "unmapped_text", "exon_tables", "count_rows", "count_table", "pseudo_genes", "gene_vote", "exon_tpm"])
 def test_matches_sql(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
     want = duck.execute(ORACLES[name]).df()
@@ -65,6 +65,9 @@ def test_planted_reads_are_found(spark, tmp_path):
     got = mapper.map_reads(loaded, rd, "x4s", params=params)
     found = {(r.read_num, r.strand, r.contig_id, r.start, r.err) for r in got.collect()}
     assert found == {(0, 0, 0, 100, 0), (1, 1, 1, 2000, 0), (2, 0, 2, 700, 1)}
+    usable = probe.prepared(rd, 16).where("usable").select("read_num", "mate")
+    figures = {r.func: (r.calls, r.hits) for r in pairing.strategy_summary(usable, got, "x4s").collect()}
+    assert figures["x"][0] == usable.count() == figures["4"][0] + figures["x"][1] and sum(h for _, h in figures.values()) == 3
     sam = pairing.sam_rows(probe.prepared(rd, 16), got.withColumn("cigar0", F.col("cigar")), contigs)
     write_sam(sam, str(tmp_path / "sam"), sam_header(contigs, "default", "bitwise", "test"))
     lines = [x.value.split("\t") for x in spark.read.text(str(tmp_path / "sam/rows")).collect()]
@@ -107,6 +110,9 @@ def test_files(spark, tmp_path):
     gtf = 'chr1\tt\texon\t1\t20\t.\t+\t.\tgene_id "g1"; transcript_id "t1";\nchr1\tt\texon\t1\t20\t.\t+\t.\tgene_id g1; transcript_id t2;\nchr1\tt\tgene\t1\t40\t.\t+\t.\tgene_id "g1";\nchr1\tt\texon\t15\t40\t.\t+\t.\tgene_id "g1"; transcript_id "t1";\n'
     (tmp_path / "a.gtf").write_text(gtf)
     g = read_gtf(spark, str(tmp_path / "a.gtf"))
+    own = spark.createDataFrame([(0, "one", LINE), (1, "two", LINE)], "contig_id long, name string, seq string")
+    (tmp_path / "b.gtf").write_text("1\tt\texon\t1\t9\t.\t+\t.\tgene_id g;\n2\tt\texon\t2\t9\t.\t+\t.\tgene_id h;\n1\tt\texon\t3\t9\t.\t+\t.\tgene_id g;\n")
+    assert {(r.seqname, r.start) for r in by_order(read_gtf(spark, str(tmp_path / "b.gtf")), own).collect()} == {("one", 1), ("two", 2), ("one", 3)}
     lay = counting.layout(counting.distinct_exons(g)).orderBy("exon_no").collect()
     assert [(r.phy_start, r.phy_end, r.overlaps_prev) for r in lay] == [(0, 19, False), (23, 48, True)]
     assert counting.genes(g).select("n_exons", "n_transcripts").first() == (2, 2)
@@ -142,3 +148,18 @@ def test_stream(spark, tmp_path):
     q = map_stream(built, read_stream(spark, str(src)), str(tmp_path / "cp"), lambda df, n: got.extend(df.select("contig_id", "start").collect()), "O")
     q.awaitTermination(120)
     assert [tuple(r) for r in got] == [(0, 100)]
+
+
+def test_letters_of_contigs(spark):
+    rows = [(0, "NNACGNNTn" + "A" * 70000 + "N" * 70000 + "C"), (1, "ACGT"), (2, ""), (3, None), (4, "N")]
+    c = spark.createDataFrame(rows, "contig_id long, seq string")
+    runs = genome.n_runs(c)
+    assert {tuple(r) for r in runs.collect()} == {(0, 0, 2), (0, 5, 2), (0, 8, 1), (0, 70009, 70000), (4, 0, 1)}
+    places = [(0, 0, 1, 8), (1, 0, 70005, 10), (2, 0, 140005, 5), (3, 1, 0, 4), (4, 4, 0, 1), (5, 0, 100000, 3), (6, 1, 2, 9)]
+    p = spark.createDataFrame(places, "place_id long, contig_id long, cpos long, n long")
+    got = {r.place_id: r.part for r in genome.extract(p, genome.packed(c), runs, 100).collect()}
+    text = {i: (s or "").upper() for i, s in rows}
+    assert got == {i: text[k][a : a + n] for i, k, a, n in places if a + n <= len(text[k])}
+    assert {r.key: r.size for r in index.size_dump(spark.createDataFrame([(2, 5)], "key long, size long"), 4).collect()} == {0: 0, 1: 0, 2: 5, 3: 0}
+    r = spark.createDataFrame([(0, "ab", None, "ACG", "III")], "read_num long, name string, comment string, seq string, qual string")
+    assert tuple(genome.lengths(r).first()) == (0, 2, 0, 3, 3)
