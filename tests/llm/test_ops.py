@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -408,6 +409,79 @@ def test_audio_resynchronises():
     assert parse(b"").offsets == [] and parse(b"\xff" * 50).offsets == []
 
 
+def _frame(version, layer, b, r, mode=0, pad=0, protect=True, fill=b"", size=0):
+    """A frame by its header's bits, with the checksum that the operator computes."""
+    from seqmap.llm.media import checksum, header
+
+    head = bytes([0xFF, 0xE0 | version << 3 | {1: 3, 2: 2, 3: 1}[layer] << 1 | (not protect), b << 4 | r << 2 | pad << 1, mode << 4])
+    h = header(head)
+    body = (head + bytes(2 * protect) + fill).ljust(size or h.size, b"\0")
+    return body[:4] + struct.pack(">H", checksum(h, body)) + body[6:] if protect else body
+
+
+@pytest.mark.parametrize("version,layer,b,r,size,samples,rate", [(3, 1, 4, 0, 136, 384, 44100), (3, 2, 8, 1, 384, 1152, 48000), (3, 3, 9, 0, 417, 1152, 44100), (2, 1, 5, 2, 240, 384, 16000), (2, 2, 8, 0, 417, 1152, 22050), (2, 3, 8, 1, 192, 576, 24000), (0, 3, 1, 2, 72, 576, 8000)])
+def test_audio_of_all_versions_and_layers(version, layer, b, r, size, samples, rate):
+    from seqmap.llm.media import parse
+
+    one = _frame(version, layer, b, r, mode=4, fill=bytes(range(7, 60)))
+    assert len(one) == size
+    padded = _frame(version, layer, b, r, pad=1)
+    s = parse(b"junk" + one * 3 + padded + one)
+    slot = 4 if layer == 1 else 1
+    assert s.sizes == [size] * 3 + [size + slot, size] and s.offsets[0] == 4 and s.skipped == 4
+    assert (s.samples, s.rate, s.checked, s.bad_crc) == (5 * samples, rate, 5, 0) and s.seek(3 * samples + 1) == s.offsets[3]
+    broken = bytearray(one * 3)
+    broken[size + 7] ^= 1
+    assert parse(bytes(broken)).bad_crc == 1
+
+
+def test_checksum_by_hand():
+    """What the sum covers, bit for bit, against its plain definition."""
+    from seqmap.llm.media import checksum, header
+
+    def plain(bits):
+        crc = 0xFFFF
+        for bit in bits:
+            top = crc >> 15
+            crc = crc << 1 & 0xFFFF
+            if top ^ int(bit):
+                crc ^= 0x8005
+        return crc
+
+    bits_of = lambda b: "".join(f"{x:08b}" for x in b)
+    r = random.Random(4)
+    body = bytes(r.randrange(256) for _ in range(300))
+    # Layer I: 4 bits for each of 32 subbands and channel, one for both from the bound on
+    for mode, n in ((0, 256), (12, 128), (4, 4 * (8 + 28)), (6, 4 * (24 + 20))):
+        f = bytes([0xFF, 0xFE, 0x40, mode << 4]) + b"\0\0" + body
+        assert checksum(header(f[:4]), f) == plain(bits_of(f[2:4]) + bits_of(body)[:n])
+    # Layer II, 48 kHz mono of 64 kbit/s: 27 subbands of 4, 3 and 2 bits, then 2 bits for each that is used
+    f = bytes([0xFF, 0xFC, 0x44, 0xC0]) + b"\0\0" + body
+    b, at, used = bits_of(body), 0, 0
+    for bits in [4] * 11 + [3] * 12 + [2] * 4:
+        used += int(b[at : at + bits], 2) > 0
+        at += bits
+    assert at == 88 and checksum(header(f[:4]), f) == plain(bits_of(f[2:4]) + b[: at + 2 * used])
+
+
+def test_audio_of_free_format_and_tables():
+    from seqmap.llm.media import header, parse
+
+    free = [_frame(3, 3, 0, 0, pad=p, protect=False, size=500 + p) for p in (0, 1, 0, 1)]
+    s = parse(b"".join(free))
+    assert s.sizes == [500, 501, 500, 501] and s.samples == 4 * 1152 and header(free[0][:4]).size == 0
+    assert parse(free[0]).offsets == []
+    info = bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 1251, 3, 2, 1, 2, 1) + b"\1\2\3\4"
+    first = _frame(3, 3, 9, 0, protect=False, fill=info)
+    s = parse(first + _frame(3, 3, 9, 0) * 2)
+    assert s.vbr == (3, 1251) and s.toc == b"\1\2\3\4" and len(s.offsets) == 3
+    ape = b"APETAGEX" + struct.pack("<IIII", 2000, 32, 0, 0) + bytes(8)
+    old = b"ID3\2\0\0\0\0\0\x0aTT2\0\0\4abcd"
+    new = b"ID3\4\0\x10\0\0\0\x0dTIT2\0\0\0\3\0\0abc3DI\4\0\x10\0\0\0\x0d"
+    s = parse(old + new + first + _frame(3, 3, 9, 0) + ape)
+    assert s.tags == ["TT2", "TIT2", "APE"] and s.skipped == 0 and len(s.offsets) == 2
+
+
 def test_chat(spark):
     from seqmap.llm.chat import Written, format_chats, inst_template
 
