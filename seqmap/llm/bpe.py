@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,23 +139,24 @@ class Transducer:
         tails += (tail,)
         if begun and begun[0] == 0:
             return self.state(last, held, tails, tuple(begun)), b""
-        ways = []
-        for end in (n + 1, *begun):
-            cuts = []
-            while end > 0:
-                cuts.append(end)
-                end -= len(tails[end - 1])
-            ways.append(cuts[::-1])
-        one, done = ways[0], 0
-        while all(len(w) > done and w[done] == one[done] for w in ways):
-            done += 1
-        if not done:
-            return self.state(last, held, tails, tuple(begun)), b""
-        cut = one[done - 1]
-        keep = {e for w in ways for e in w}
-        rest = tuple(t if cut + i + 1 in keep else None for i, t in enumerate(tails[cut:]))
-        out = b"".join(self.code[tails[e - 1]] for e in one[:done])
-        return self.state(tails[cut - 1], held[cut:], rest, tuple(j - cut for j in begun)), out
+        # each end leads back over its last token to an earlier one; the ends are led back until they meet
+        ends = [*begun, n + 1]
+        keep = set(ends)
+        while len(ends) > 1:
+            e = ends.pop()
+            back = e - len(tails[e - 1])
+            if not back:
+                return self.state(last, held, tails, tuple(begun)), b""
+            if back not in keep:
+                keep.add(back)
+                insort(ends, back)
+        cut = e = ends[0]
+        done = []
+        while e > 0:
+            done.append(self.code[tails[e - 1]])
+            e -= len(tails[e - 1])
+        rest = tuple([tails[e - 1] if e in keep else None for e in range(cut + 1, n + 2)])
+        return self.state(tails[cut - 1], held[cut:], rest, tuple([j - cut for j in begun])), b"".join(done[::-1])
 
     def end(self, s: int) -> bytes:
         """What a state still holds when the piece ends."""
