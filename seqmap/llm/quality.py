@@ -7,7 +7,7 @@ stated share of clean documents. This is done once for quality and once for toxi
 and not toxic.
 
 Fitting uses a bounded sample (LABELLED and UNLABELLED rows, those of least hash of their id, so the same rows at any
-partitioning); every document is scored over its whole text. Features are hashed, and the model that travels to the
+partitioning) in one task; every document is scored over its whole text. Features are hashed, and the model that travels to the
 executors is two tables of fixed size.
 
 Null texts are empty, null languages and sources are values of their own, null lengths are 0. Repeated rows are scored
@@ -17,6 +17,7 @@ probability 0.5. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,7 @@ PER_ROUND = 400
 KEEP_CLEAN = 0.995
 SCHEMA = "doc_id long, p_quality double, p_toxic double, keep boolean"
 FEATURES = "doc_id long, words array<int>, stats array<double>, meta array<int>"
+SAMPLE = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("stats", pa.list_(pa.float64())), ("meta", pa.list_(pa.int32())), ("quality", pa.int32()), ("toxic", pa.int32())])
 
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[:128] = True
@@ -116,7 +118,7 @@ class View:
 
 
 def _parts(rows: list[np.ndarray], size: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, feature) of some rows at a time, so that the driver never holds all in wide numbers."""
+    """(row, feature) of some rows at a time, so that all are never held in wide numbers."""
     for i in range(0, len(rows), size):
         part = rows[i : i + size]
         yield np.repeat(np.arange(i, i + len(part)), [len(r) for r in part]), np.concatenate(part).astype(np.int64)
@@ -226,8 +228,27 @@ def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(a.flatten().to_numpy(), np.cumsum(a.value_lengths().to_numpy())[:-1])
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The models for quality and toxicity from all rows of the sample; nothing without usable labels."""
+    got = pa.Table.from_batches(batches, SAMPLE)
+    if not len(got):
+        return
+    got = got.sort_by("doc_id")
+    y = {k: got.column(k).cast(pa.float64()).fill_null(float("nan")).to_numpy() for k in ("quality", "toxic")}
+    if np.isnan(y["quality"]).all():
+        return
+    words, meta = (_lists(got.column(k)) for k in ("words", "meta"))
+    stats = got.column("stats").combine_chunks().flatten().to_numpy().reshape(len(got), N_STATS)
+    held = np.array([_hash(f"held {d}") % 4 == 0 for d in got.column("doc_id").to_pylist()])
+    both = co_train(words, stats, meta, y["quality"], held, 1), co_train(words, stats, meta, y["toxic"], held, 0)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(both)], pa.binary())], names=["models"])
+
+
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[Model, Model] | None:
-    """(quality, toxicity) from a bounded sample; None without usable labels."""
+    """(quality, toxicity) from a bounded sample; None without usable labels.
+
+    One task fits them, as the sample is bounded; the driver only gets the tables of the models.
+    """
     own = plain(docs, "doc_id", "text", "lang", "source", "n_chars")
     marks = plain(labels, "doc_id", "quality", "toxic").where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
@@ -236,14 +257,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     rest = ids.join(marks, "doc_id", "left_anti").orderBy(order, "doc_id").limit(unlabelled).selectExpr("doc_id", "cast(null as int) quality", "cast(null as int) toxic")
     sample = some.select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(rest)
     # at most labelled + unlabelled rows of three numbers
-    got = featurise(own.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
-    y = {k: got.column(k).cast(pa.float64()).fill_null(float("nan")).to_numpy() for k in ("quality", "toxic")}
-    if not len(got) or np.isnan(y["quality"]).all():
-        return None
-    words, meta = (_lists(got.column(k)) for k in ("words", "meta"))
-    stats = got.column("stats").combine_chunks().flatten().to_numpy().reshape(len(got), N_STATS)
-    held = np.array([_hash(f"held {d}") % 4 == 0 for d in got.column("doc_id").to_pylist()])
-    return co_train(words, stats, meta, y["quality"], held, 1), co_train(words, stats, meta, y["toxic"], held, 0)
+    rows = featurise(own.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])).join(F.broadcast(sample), "doc_id")
+    got = rows.select(*SAMPLE.names).repartition(1).mapInArrow(_fitted, "models binary").first()
+    return pickle.loads(got.models) if got else None
 
 
 def probabilities(b: pa.RecordBatch, both: tuple[Model, Model]) -> tuple[np.ndarray, np.ndarray]:
