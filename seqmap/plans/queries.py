@@ -17,7 +17,7 @@ from seqmap.functions import encodings, guides
 from seqmap.functions import sequences as q
 from seqmap.operators import candidates, cigar, counting, genome, index, pairing, probe, strategies, verify
 from seqmap.plans import mapper
-from seqmap.session import cut, shared_dir
+from seqmap.session import cut, shared_dir, stored
 from seqmap.sources import sinks
 
 K, LOW, HIGH = 24, 53, 79
@@ -53,9 +53,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def contigs(spark: SparkSession, d: str) -> DataFrame:
+def contigs(spark: SparkSession, d: str, once: bool = False) -> DataFrame:
+    """once: the letters are made from the texts once and written, for a query that reads them many times."""
     docs = index.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id")
-    return index.with_offsets(docs.select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), q.from_text(F.col("text")).alias("seq")))
+    own = docs.select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), q.from_text(F.col("text")).alias("seq"))
+    return index.with_offsets(stored(own, "contigs") if once else own)
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
@@ -435,23 +437,24 @@ def _mates_u(spark: SparkSession, d: str) -> DataFrame:
     return strategies.STRATEGIES["U"].run(a_probe(spark, d, mates(spark, d)))
 
 
-def the_index(spark: SparkSession, d: str) -> index.Index:
-    """An index with the fixed limits; sizes cover the keys of all contigs."""
-    c = contigs(spark, d)
-    p = index.postings(c, K)
-    return index.Index(index.IndexMeta(K, "bitwise", "default", 0, 0.0, 0.0, 200), c, p, index.key_sizes(p))
+def the_index(spark: SparkSession, d: str, rd: DataFrame) -> index.Index:
+    """An index with the fixed limits for some reads: all contigs, with the places of the reads' keys, which are all that a probe can meet."""
+    c, keys = contigs(spark, d, once=True), probe.read_keys(rd, K)
+    make = lambda some: index.postings(c, K, only=some)
+    return index.Index(index.IndexMeta(K, "bitwise", "default", 0, 0.0, 0.0, 200), c, index.postings(c, K), index.sizes_of(c, K, only=keys), make)
 
 
 @query("strategy_figures")
 def _figures(spark: SparkSession, d: str) -> DataFrame:
     rd = reads(spark, d)
-    got = mapper.map_reads(the_index(spark, d), rd, "x4s", params=PARAMS)
+    got = mapper.map_reads(the_index(spark, d, rd), rd, "x4s", params=PARAMS)
     return pairing.strategy_summary(probe.prepared(rd, K).where("usable").select("read_num", "mate"), got, "x4s")
 
 
 @query("cascade_x4s")
 def _cascade(spark: SparkSession, d: str) -> DataFrame:
-    return mapper.map_reads(the_index(spark, d), reads(spark, d), "x4s", params=PARAMS)
+    rd = reads(spark, d)
+    return mapper.map_reads(the_index(spark, d, rd), rd, "x4s", params=PARAMS)
 
 
 # ---- verification, alignment, mates
@@ -544,7 +547,7 @@ def _mate_search(spark: SparkSession, d: str) -> DataFrame:
 
 def _sam(spark: SparkSession, d: str) -> DataFrame:
     rd = mates(spark, d)
-    got = mapper.map_reads(the_index(spark, d), rd, "x", params=PARAMS).withColumn("cigar0", F.col("cigar"))
+    got = mapper.map_reads(the_index(spark, d, rd), rd, "x", params=PARAMS).withColumn("cigar0", F.col("cigar"))
     return pairing.sam_rows(probe.prepared(rd, K), got, contigs(spark, d), read_group="lane1")
 
 

@@ -163,3 +163,33 @@ def test_letters_of_contigs(spark):
     assert {r.key: r.size for r in index.size_dump(spark.createDataFrame([(2, 5)], "key long, size long"), 4).collect()} == {0: 0, 1: 0, 2: 5, 3: 0}
     r = spark.createDataFrame([(0, "ab", None, "ACG", "III")], "read_num long, name string, comment string, seq string, qual string")
     assert tuple(genome.lengths(r).first()) == (0, 2, 0, 3, 3)
+
+
+def test_cascade_makes_and_deals_out_only_what_reads_meet(spark, tmp_path):
+    """Frequent keys are hits without a place, and other keys' postings and other blocks are never made; places stay the same."""
+    from seqmap.operators import strategies, verify
+    from seqmap.plans import queries
+
+    rows, contigs = _genome(spark)
+    same = contigs.select("contig_id", "name", "seq").unionByName(contigs.select((F.col("contig_id") + 3).alias("contig_id"), "name", F.substring("seq", 1, 1500).alias("seq")))
+    built = index.build_index(index.with_offsets(same), 12)
+    rd = spark.createDataFrame([(i, 1, f"r{i}", rows[i % 3][2][a : a + 120]) for i, a in enumerate(range(0, 2800, 400))], "read_num long, mate byte, name string, seq string")
+    params = mapper.params_of(built, low=6, high=8)
+    assert strategies.most_of("x4s", params) == 6 and strategies.most_of("xn", params) is None
+    every, few = mapper.probe_of(built, rd, params), mapper.probe_of(built, rd, params, 6)
+    assert few.hits.count() < every.hits.count()
+    keys = lambda p: sorted(tuple(r) for r in p.hits.select("read_num", "strand", "key_idx", "rpos", "size").distinct().collect())
+    assert keys(few) == keys(every)
+    found = 0
+    for x in "x4l":
+        got, want = (sorted(map(tuple, strategies.STRATEGIES[x].run(p).collect())) for p in (few, every))
+        assert got == want
+        found += len(got)
+    assert found
+    some = built.of(spark.createDataFrame([(built.sizes.first().key,)], "key long"))
+    assert 0 < some.count() < 20
+    one = verify.genome_blocks(contigs, 10, 1000, (index.np.array([1, 1, 2]), index.np.array([0, 2, 7])))
+    assert [(r.contig_id, r.block, r.text) for r in one.collect()] == [(1, 0, rows[1][2][:1010]), (1, 2, rows[1][2][2000:3000])]
+    ix = queries.the_index(spark, SF, queries.reads(spark, SF))
+    wanted = probe.read_keys(queries.reads(spark, SF), queries.K).select("key").distinct()
+    assert ix.sizes.join(wanted, "key", "left_anti").isEmpty()
