@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seqmap.functions.sequences import revcomp
+from seqmap.functions.sequences import COMPLEMENTS, LETTERS, revcomp
 from seqmap.operators.index import prefix_offsets
 
 GAP = 3
@@ -47,8 +52,38 @@ def layout(exons: DataFrame) -> DataFrame:
 
 
 def pseudo_genes(placed: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(gene_id, seq): the exons' letters in layout order, NNN between; exons of the minus strand are reverse complements."""
+    """(gene_id, seq): the exons' letters in layout order, NNN between; exons of the minus strand are reverse complements.
+
+    A contig meets all its exons in one row, so its letters are not copied for each; the exons of genes on several
+    contigs are cut one by one and gathered.
+    """
     c = contigs.select(F.col("name").alias("chr"), F.col("seq").alias("_s"))
+    of = W.partitionBy("gene_id")
+    placed = placed.withColumn("_one", F.min("chr").over(of) == F.max("chr").over(of))
+    far = placed.where("not _one")
+    here = placed.where("_one").groupBy("chr").agg(F.sort_array(F.collect_list(F.struct("gene_id", "exon_no", "start", "end", "strand"))).alias("e")).join(c, "chr")
+    schema = T.StructType([placed.schema["gene_id"], T.StructField("seq", T.StringType())])
+    turned = str.maketrans(LETTERS, COMPLEMENTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for e, s in zip(b.column(0), b.column(1)):
+                s, cols, genes, seqs = s.as_py(), e.values, [], []
+                rows = zip(*(cols.field(n).to_pylist() for n in ("gene_id", "start", "end", "strand")))
+                for gene, own in groupby(rows, lambda r: r[0]):
+                    parts = []
+                    for _, start, end, strand in own:
+                        part = (s or "")[max(start - 1, 0) : max(start - 1, 0) + end - start + 1]
+                        parts.append(part[::-1].translate(turned) if strand == "-" else part)
+                    genes.append(gene)
+                    seqs.append("" if s is None else ("N" * GAP).join(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(genes, cols.field("gene_id").type), pa.array(seqs, pa.string())], names=["gene_id", "seq"])
+
+    near = here.select("e", "_s").mapInArrow(run, schema)
+    return near if far.isEmpty() else near.unionByName(_gathered(far, c))
+
+
+def _gathered(placed: DataFrame, c: DataFrame) -> DataFrame:
     part = F.substring("_s", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
     e = placed.join(c, "chr").select("gene_id", "exon_no", F.when(F.col("strand") == "-", revcomp(part)).otherwise(part).alias("part"))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("exon_no", "part"))), lambda x: x["part"])  # bounded by the gene

@@ -440,7 +440,7 @@ def _mates_u(spark: SparkSession, d: str) -> DataFrame:
 def the_index(spark: SparkSession, d: str, rd: DataFrame) -> index.Index:
     """An index with the fixed limits for some reads: all contigs, with the places of the reads' keys, which are all that a probe can meet."""
     c, keys = contigs(spark, d, once=True), probe.read_keys(rd, K)
-    make = lambda some: index.postings(c, K, only=some)
+    make = lambda some, own: index.postings(own, K, only=some)
     return index.Index(index.IndexMeta(K, "bitwise", "default", 0, 0.0, 0.0, 200), c, index.postings(c, K), index.sizes_of(c, K, only=keys), make)
 
 
@@ -618,8 +618,8 @@ _EXONS = f"""WITH {_CONTIGS}, x AS (SELECT contig_id AS gene_id, size, unnest(ra
 exons AS (SELECT gene_id, i * 100 + 1 AS start, least(i * 100 + 120, size) AS "end", CASE WHEN gene_id % 2 = 0 THEN '+' ELSE '-' END AS strand, i FROM x)"""
 
 
-def gtf(spark: SparkSession, d: str) -> DataFrame:
-    c = contigs(spark, d).where("size > 0")
+def gtf(spark: SparkSession, d: str, c: DataFrame | None = None) -> DataFrame:
+    c = (contigs(spark, d) if c is None else c).where("size > 0")
     i = F.explode(F.sequence(F.lit(0), F.greatest(F.floor(F.col("size") / 100), F.lit(1)) - 1)).alias("i")
     e = c.select(F.col("name").alias("seqname"), F.col("contig_id").alias("gene_id"), "size", i)
     strand = F.when(F.col("gene_id") % 2 == 0, "+").otherwise("-")
@@ -739,12 +739,12 @@ def _count_table(spark: SparkSession, d: str) -> DataFrame:
 @query("count_789")
 def _count(spark: SparkSession, d: str) -> DataFrame:
     """The count verb from end to end: pseudo-genes, their index with exons, votes by three limits, counts of genes."""
-    placed = counting.layout(counting.distinct_exons(gtf(spark, d)))
-    genes = counting.pseudo_genes(placed, contigs(spark, d)).select(F.col("gene_id").alias("contig_id"), F.col("gene_id").cast("string").alias("name"), "seq")
-    built = index.build_index(cut(genes), K)
+    c = contigs(spark, d, once=True)
+    placed = stored(counting.layout(counting.distinct_exons(gtf(spark, d, c))), "exons")
+    genes = counting.pseudo_genes(placed, c).select(F.col("gene_id").alias("contig_id"), F.col("gene_id").cast("string").alias("name"), "seq")
+    built = index.build_index(stored(genes, "genes"), K)
     exons = placed.select((F.col("gene_id") * 100000 + F.col("exon_no")).alias("exon_id"), "gene_id", "phy_start", "phy_end")
-    own = index.postings(built.contigs, K, only=probe.read_keys(reads(spark, d), K))
-    won, by_gene, by_exon = mapper.count_reads(built, index.exon_postings(own, exons, K), reads(spark, d), params=PARAMS)
+    won, by_gene, by_exon = mapper.count_reads(built, exons, reads(spark, d), params=PARAMS)
     first = won.groupBy("gene_id").agg(F.min("func").alias("func"))
     n = by_exon.groupBy("gene_id").agg(F.count(F.lit(1)).alias("exons"))
     return by_gene.join(first, "gene_id").join(n, "gene_id", "left").select("gene_id", "reads", "func", "exons")

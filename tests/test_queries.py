@@ -193,3 +193,18 @@ def test_cascade_makes_and_deals_out_only_what_reads_meet(spark, tmp_path):
     ix = queries.the_index(spark, SF, queries.reads(spark, SF))
     wanted = probe.read_keys(queries.reads(spark, SF), queries.K).select("key").distinct()
     assert ix.sizes.join(wanted, "key", "left_anti").isEmpty()
+
+
+def test_pseudo_genes_take_a_contig_once(spark):
+    """Genes on one contig, on two, without letters; and sizes that tasks count in one array."""
+    c = spark.createDataFrame([("a", LINE), ("b", LINE[::-1]), ("n", None)], "name string, seq string")
+    e = [("g", 1, "a", 1, 9, "+"), ("g", 2, "a", 5, 20, "-"), ("h", 1, "a", 3, 8, "+"), ("h", 2, "b", 1, 5, "-"), ("i", 1, "n", 1, 3, "+")]
+    placed = spark.createDataFrame(e, "gene_id string, exon_no int, chr string, start long, end long, strand string")
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = {("g", LINE[:9] + "NNN" + rc(LINE[4:20])), ("h", LINE[2:8] + "NNN" + rc(LINE[::-1][:5])), ("i", "")}
+    assert {tuple(r) for r in counting.pseudo_genes(placed, c).collect()} == want
+    joins = counting.pseudo_genes(placed.where("gene_id = 'g'"), c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr" not in joins  # no contig is copied and cut for each exon
+    long = spark.createDataFrame([(0, LINE * 80000), (1, LINE), (2, None)], "contig_id long, seq string").repartition(1)
+    got = {tuple(r) for r in index.sizes_of(long, 20).collect()}
+    assert got == {tuple(r) for r in index.key_sizes(index.keys_of(long, "contig_id", "seq", 20)).collect()}
