@@ -208,3 +208,15 @@ def test_pseudo_genes_take_a_contig_once(spark):
     long = spark.createDataFrame([(0, LINE * 80000), (1, LINE), (2, None)], "contig_id long, seq string").repartition(1)
     got = {tuple(r) for r in index.sizes_of(long, 20).collect()}
     assert got == {tuple(r) for r in index.key_sizes(index.keys_of(long, "contig_id", "seq", 20)).collect()}
+
+
+
+def test_alignment_rows_take_the_index_of_their_mates(spark):
+    from seqmap.plans import queries
+
+    rd = queries.mates(spark, SF)
+    wanted = probe.read_keys(rd, queries.K).select("key").distinct()
+    ix = queries.the_index(spark, SF, rd)
+    post = ix.of(wanted)
+    assert post.join(wanted, "key", "left_anti").isEmpty() and index.key_sizes(post).exceptAll(ix.sizes).isEmpty()
+    assert QUERIES["sam_rows"](spark, SF).select("qname", "seq").where("flag < 256").count() == rd.count()
