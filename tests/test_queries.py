@@ -220,3 +220,16 @@ def test_alignment_rows_take_the_index_of_their_mates(spark):
     post = ix.of(wanted)
     assert post.join(wanted, "key", "left_anti").isEmpty() and index.key_sizes(post).exceptAll(ix.sizes).isEmpty()
     assert QUERIES["sam_rows"](spark, SF).select("qname", "seq").where("flag < 256").count() == rd.count()
+
+
+
+def test_figures_add_up(spark, monkeypatch):
+    from seqmap.plans import queries
+
+    def whole(*_):
+        raise AssertionError("postings of all keys are counted")
+
+    monkeypatch.setattr(index, "key_sizes", whole)
+    got = {r.func: (r.calls, r.hits) for r in QUERIES["strategy_figures"](spark, SF).collect()}
+    usable = probe.prepared(queries.reads(spark, SF), queries.K).where("usable").count()
+    assert got["x"][0] == usable and got["4"][0] == usable - got["x"][1] and got["s"][0] == got["4"][0] - got["4"][1]
