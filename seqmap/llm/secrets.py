@@ -130,7 +130,8 @@ def train(docs: DataFrame, limit: int = DOCS, words: int = WORDS) -> Markov:
 def ratio(token: Column, model: Markov) -> Column:
     """The mean log-likelihood ratio of a token's characters."""
     k = len(ALPHABET) + 1
-    table = F.array(*[F.lit(round(w, 6)) for w in model.weights])
+    # one literal, not one for each pair: every rule of the planner copies a plan's expressions on the driver
+    table = F.split(F.lit(",".join(repr(round(w, 6)) for w in model.weights)), ",").cast("array<double>")
     step = lambda acc, c: F.struct((acc["total"] + F.get(table, acc["prev"] * k + F.instr(F.lit(ALPHABET), c))).alias("total"), F.instr(F.lit(ALPHABET), c).alias("prev"))
     start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("prev"))
     return F.aggregate(F.split(token, ""), start, step, lambda acc: acc["total"]) / F.length(token)

@@ -688,3 +688,19 @@ def test_pipeline(spark, tmp_path):
             assert set(docs.columns) == set(corpus_pipeline.COLUMNS) and 0 < docs.count() <= n
             n = docs.count()
     assert docs.select("doc_id").distinct().count() == n
+
+
+def test_weights_are_one_expression(spark):
+    """The plan of secrets does not grow with the model, and the weights stay what they are."""
+    from seqmap.llm import secrets
+
+    r = random.Random(3)
+    model = secrets.Markov([r.uniform(-9, 9) for _ in range((len(secrets.ALPHABET) + 1) ** 2)], [0.0] * 4)
+    words = ["".join(r.choice(secrets.ALPHABET) for _ in range(20)) for _ in range(40)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.ratio(F.col("w"), model).alias("x"))
+    rounded = [round(w, 6) for w in model.weights]
+    assert all(abs(row.x - secrets._mean(row.w, rounded)) < 1e-9 for row in df.collect())
+    analyzed, optimized = (getattr(df._jdf.queryExecution(), x)().toJSON() for x in ("analyzed", "optimizedPlan"))
+    assert analyzed.count("catalyst.expressions.Literal") < 100
+    # the weights are split once, when the plan is made; what stays is the split of tokens
+    assert (analyzed.count("expressions.StringSplit"), optimized.count("expressions.StringSplit")) == (2, 1)
