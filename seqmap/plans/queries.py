@@ -754,7 +754,7 @@ def _count(spark: SparkSession, d: str) -> DataFrame:
 def _saved(spark: SparkSession, d: str) -> DataFrame:
     """An index that is built, written, read again and mapped with the limits of its own header."""
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}"
-    index.save_index(index.build_index(contigs(spark, d), K), path)
+    index.save_index(index.build_index(contigs(spark, d, once=True), K), path)
     return mapper.map_reads(index.load_index(spark, path), reads(spark, d), "x4")
 
 

@@ -233,3 +233,14 @@ def test_figures_add_up(spark, monkeypatch):
     got = {r.func: (r.calls, r.hits) for r in QUERIES["strategy_figures"](spark, SF).collect()}
     usable = probe.prepared(queries.reads(spark, SF), queries.K).where("usable").count()
     assert got["x"][0] == usable and got["4"][0] == usable - got["x"][1] and got["s"][0] == got["4"][0] - got["4"][1]
+
+
+def test_saved_postings_are_keys_and_places(spark, tmp_path):
+    """What follows from a place is not stored again, and the index that is read has the same postings."""
+    _, contigs = _genome(spark)
+    built = index.build_index(contigs, 16)
+    index.save_index(built, str(tmp_path / "ix"))
+    assert spark.read.parquet(str(tmp_path / "ix/postings")).columns == ["key", "gpos"]
+    loaded, some = index.load_index(spark, str(tmp_path / "ix")), built.sizes.limit(50)
+    for got, want in ((loaded.postings, built.postings), (loaded.of(some), built.of(some))):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
