@@ -54,8 +54,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def contigs(spark: SparkSession, d: str, once: bool = False) -> DataFrame:
-    """once: the letters are made from the texts once and written, for a query that reads them many times."""
-    docs = index.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id")
+    """once: the letters are made from the texts once and written, for a query that reads them many times; no text is dealt out."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    docs = docs if once else index.spread(docs, "doc_id")
     own = docs.select(F.col("doc_id").alias("contig_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), q.from_text(F.col("text")).alias("seq"))
     return index.with_offsets(stored(own, "contigs") if once else own)
 
@@ -441,7 +442,8 @@ def the_index(spark: SparkSession, d: str, rd: DataFrame) -> index.Index:
     """An index with the fixed limits for some reads: all contigs, with the places of the reads' keys, which are all that a probe can meet."""
     c, keys = contigs(spark, d, once=True), probe.read_keys(rd, K)
     make = lambda some, own: index.postings(own, K, only=some)
-    return index.Index(index.IndexMeta(K, "bitwise", "default", 0, 0.0, 0.0, 200), c, index.postings(c, K), index.sizes_of(c, K, only=keys), make)
+    ends = lambda some: index.last_places(c, K, "bitwise", "default", some)
+    return index.Index(index.IndexMeta(K, "bitwise", "default", 0, 0.0, 0.0, 200), c, index.postings(c, K), index.sizes_of(c, K, only=keys), make, ends)
 
 
 @query("strategy_figures")
@@ -547,8 +549,9 @@ def _mate_search(spark: SparkSession, d: str) -> DataFrame:
 
 def _sam(spark: SparkSession, d: str) -> DataFrame:
     rd = mates(spark, d)
-    got = mapper.map_reads(the_index(spark, d, rd), rd, "x", params=PARAMS).withColumn("cigar0", F.col("cigar"))
-    return pairing.sam_rows(probe.prepared(rd, K), got, contigs(spark, d), read_group="lane1")
+    own = the_index(spark, d, rd)
+    got = mapper.map_reads(own, rd, "x", params=PARAMS).withColumn("cigar0", F.col("cigar"))
+    return pairing.sam_rows(probe.prepared(rd, K), got, own.contigs, read_group="lane1")
 
 
 @query("sam_rows")

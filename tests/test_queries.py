@@ -244,3 +244,29 @@ def test_saved_postings_are_keys_and_places(spark, tmp_path):
     loaded, some = index.load_index(spark, str(tmp_path / "ix")), built.sizes.limit(50)
     for got, want in ((loaded.postings, built.postings), (loaded.of(some), built.of(some))):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_alignment_rows_deal_out_no_texts(spark, monkeypatch):
+    from seqmap.plans import queries
+
+    def dealt(*_):
+        raise AssertionError("texts are dealt out")
+
+    monkeypatch.setattr(index, "spread", dealt)
+    assert QUERIES["sam_rows"](spark, SF).where("flag < 256").count() == queries.mates(spark, SF).count()
+
+
+def test_last_places_and_sizes_of_some_keys(spark, monkeypatch):
+    """Places and counts that tasks sum up are those of the postings, with short and long keys, few and many of them."""
+    from seqmap.plans import queries
+
+    c = queries.contigs(spark, SF, once=True)
+    for k, name in ((24, "bitwise"), (14, "plain")):
+        post = index.postings(c, k, name)
+        only = post.where("key % 3 = 0").select("key").union(spark.createDataFrame([(-5,), (1 << 40,)], "key long"))
+        mine = post.where("key % 3 = 0").groupBy("key")
+        want = {tuple(r) for r in mine.agg(F.max("gpos")).collect()}, {tuple(r) for r in mine.count().collect()}
+        for most in (1 << 20, 10):
+            monkeypatch.setattr(index, "FILTER_KEYS", most)
+            got = index.last_places(c, k, name, "default", only), index.sizes_of(c, k, name, only=only)
+            assert tuple({tuple(r) for r in x.collect()} for x in got) == want
