@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 from seqmap.session import shared_dir
 
 #: Bytes of text that one vectorised step holds at once (a longer document is one step).
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
+#: Bytes of a batch that a Python worker gets, or gives, at once (a longer row is one batch).
+BATCH_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +72,49 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made meanwhile go to Python in batches of BATCH_BYTES at most; the session's own limit comes back after.
+
+    A batch is held twice by the JVM and twice by its worker, so the default of 64 MB is much for tasks that share a node.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release() -> None:
+    """Gives a process's unused memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """The same; a worker that waits for its next task after it keeps no unused memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
+def parts(b: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `most` bytes."""
+    rows = max(1, b.num_rows * most // max(1, b.nbytes))
+    for i in range(0, b.num_rows, rows):
+        yield b.slice(i, rows)
+
+
 def distinct_ids(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """Documents with ids that name one text each, and (doc_id, own_id) to come back, or None if they are so already.
 

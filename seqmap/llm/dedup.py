@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmap.llm.common import STEP_BYTES, Scratch, bytes_of, distinct_ids, free, mix, own_ids, plain, steps
+from seqmap.llm.common import STEP_BYTES, Scratch, bytes_of, distinct_ids, free, mix, own_ids, plain, steps, tidy
 from seqmap.llm.simjoin import packed_texts
 from seqmap.llm.suffix import permuted_lcp, suffix_array
 
@@ -172,7 +172,7 @@ def found_anchors(docs: DataFrame) -> DataFrame:
             yield from flush()
 
     own = plain(docs, "doc_id", "text").where("octet_length(text) >= 100")
-    return own.mapInArrow(run, FOUND)
+    return own.mapInArrow(tidy(run), FOUND)
 
 
 def compared(anchors: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def compared(anchors: DataFrame) -> DataFrame:
     own = own.join(F.broadcast(often), "h", "left").withColumn("salted", F.coalesce("salted", F.lit(False)))
     salt = F.when(F.col("salted"), F.pmod("ctx", F.lit(SALTS))).otherwise(F.lit(0))
     dealt = own.repartition(F.col("h"), salt).sortWithinPartitions("h", "ctx", "doc_id", "at")
-    return dealt.mapInArrow(run, FOUND)
+    return dealt.mapInArrow(tidy(run), FOUND)
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def contexts(docs: DataFrame, cands: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "hot", "doc_id", "start", "left", "bytes"])
 
-    return packed_texts(docs).join(wanted, "doc_id").mapInArrow(run, CONTEXT)
+    return packed_texts(docs).join(wanted, "doc_id").mapInArrow(tidy(run), CONTEXT)
 
 
 def trimmed(hs: list[int], lefts: list[int], texts: list[bytes]) -> list[tuple[int, int, int]]:
@@ -356,7 +356,7 @@ def sharded(found: DataFrame) -> DataFrame:
             yield flush()
 
     dealt = found.where("not hot").select("h", "doc_id", "start", "left", "bytes").repartition(F.col("h")).sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "doc_id long, at long")
+    return dealt.mapInArrow(tidy(run), "doc_id long, at long")
 
 
 def by_string(found: DataFrame) -> DataFrame:
@@ -382,7 +382,7 @@ def by_string(found: DataFrame) -> DataFrame:
             keep = new | later
             yield pa.RecordBatch.from_arrays([pa.array(later[keep]), pa.array(key[keep]), pa.array(doc[keep]), pa.array(at[keep])], names=["later", "key", "doc_id", "start"])
 
-    each = found.where("hot").select("doc_id", "start", "bytes").mapInArrow(run, "later boolean, key long, doc_id long, start long")
+    each = found.where("hot").select("doc_id", "start", "bytes").mapInArrow(tidy(run), "later boolean, key long, doc_id long, start long")
     place = F.struct("doc_id", "start")
     # what a task has thinned out is marked whatever the others hold; a key has no more rows left than there are batches
     kept = each.where("not later").groupBy("key").agg(F.min(place).alias("first"), F.collect_set(place).alias("all")).where("size(all) > 1")
@@ -443,7 +443,7 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     own, back = distinct_ids(plain(docs, "doc_id", "text"), scratch)
     marks = repeats(own, scratch)
-    return own_ids(packed_texts(own).join(marks, "doc_id", "left").mapInArrow(run, RESULT), back)
+    return own_ids(packed_texts(own).join(marks, "doc_id", "left").mapInArrow(tidy(run), RESULT), back)
 
 
 def dedup_docs(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -464,4 +464,4 @@ def dedup_docs(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     marks = repeats(own, scratch)
     kept = own.join(marks, "doc_id", "left").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"), "cuts")
-    return own_ids(kept.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long"), back)
+    return own_ids(kept.mapInArrow(tidy(run), "doc_id long, text string, lang string, source string, n_chars long"), back)

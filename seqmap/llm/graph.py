@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmap.llm.common import Scratch
+from seqmap.llm.common import Scratch, tidy
 
 #: Links that one task may join by itself (16 bytes each).
 LOCAL_LINKS = 1 << 20
@@ -60,7 +60,7 @@ def joined(links: DataFrame) -> DataFrame:
         nodes = list(up)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(n) for n in nodes], pa.int64())], names=["node", "root"])
 
-    return links.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+    return links.select("a", "b").coalesce(1).mapInArrow(tidy(run), "node long, root long")
 
 
 def stars(links: DataFrame, scratch: Scratch, name: str, rows: int) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seqmap.llm.common import plain, text_of
+from seqmap.llm.common import plain, text_of, tidy
 
 TIERS = (2048, 1024, 512, 256)
 #: Tokens packed together; bounds the memory of a task.
@@ -182,4 +182,4 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str = ""
         if ids:
             yield flush(ids, tokens)
 
-    return plain(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return plain(docs, "doc_id", "text").mapInArrow(tidy(run), SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmap.llm.common import bytes_of, mix, plain, steps, word_hashes
+from seqmap.llm.common import bytes_of, mix, parts, plain, small_batches, steps, tidy, word_hashes
 
 LABELLED, UNLABELLED = 8000, 4000
 WIDTH = 1 << 18
@@ -99,7 +99,7 @@ def featurise(docs: DataFrame) -> DataFrame:
             meta = [meta_of(*x) for x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(stats, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))], names=["doc_id", "words", "stats", "meta"])
 
-    return docs.mapInArrow(run, FEATURES)
+    return docs.mapInArrow(tidy(run), FEATURES)
 
 
 @dataclass
@@ -258,7 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     sample = some.select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(rest)
     # at most labelled + unlabelled rows of three numbers
     rows = featurise(own.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])).join(F.broadcast(sample), "doc_id")
-    got = rows.select(*SAMPLE.names).repartition(1).mapInArrow(_fitted, "models binary").first()
+    with small_batches(docs.sparkSession):
+        got = rows.select(*SAMPLE.names).repartition(1).mapInArrow(tidy(_fitted), "models binary").first()
     return pickle.loads(got.models) if got else None
 
 
@@ -288,7 +289,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p, keep = probabilities(b, sent.value)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(p[0]), pa.array(p[1]), pa.array(keep)], names=["doc_id", "p_quality", "p_toxic", "keep"])
 
-    return own.mapInArrow(run, SCHEMA)
+    return own.mapInArrow(tidy(run), SCHEMA)
 
 
 def filter_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -300,7 +301,8 @@ def filter_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(probabilities(b, sent.value)[1]))
+        for batch in batches:
+            for b in parts(batch):
+                yield b.filter(pa.array(probabilities(b, sent.value)[1]))
 
-    return own.mapInArrow(run, own.schema)
+    return own.mapInArrow(tidy(run), own.schema)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmap.llm.common import Scratch, bytes_of, digest, distinct_ids, free, mix, plain, shingle_sets, steps
+from seqmap.llm.common import Scratch, bytes_of, digest, distinct_ids, free, mix, plain, shingle_sets, small_batches, steps, tidy
 from seqmap.llm.graph import beside, components
 
 SKETCH_BITS, DEPTH, BLOCK = 18, 2, 1 << 16
@@ -114,7 +114,7 @@ def entities(docs: DataFrame) -> DataFrame:
         k = len(parts)
         yield pa.RecordBatch.from_arrays([pa.array([salt] * k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return plain(docs, "doc_id", "text").mapInArrow(run, ENTITY)
+    return plain(docs, "doc_id", "text").mapInArrow(tidy(run), ENTITY)
 
 
 def frequent_tokens(first: DataFrame) -> np.ndarray:
@@ -144,7 +144,7 @@ def summed(blocks: DataFrame, *keys: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["salt", "block", "counts"])
 
-    return blocks.repartition(*keys).mapInArrow(run, "salt long, block int, counts binary")
+    return blocks.repartition(*keys).mapInArrow(tidy(run), "salt long, block int, counts binary")
 
 
 def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def signatures(docs: DataFrame, sketch: np.ndarray, frequent: np.ndarray) -> Dat
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(ents, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int32), lens)), pa.array(np.concatenate(weights)), pa.array(np.concatenate(freq))], names=["sig", "ent", "n", "weight", "frequent"])
 
-    return plain(docs, "text").mapInArrow(run, SIGNATURE)
+    return plain(docs, "text").mapInArrow(tidy(run), SIGNATURE)
 
 
 def shared_rare(sigs: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def shared_rare(sigs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["sig", "ent", "n", "weight"])
 
     dealt = sigs.where("not frequent").select("sig", "ent", "n", "weight").repartition(F.col("sig")).sortWithinPartitions("sig", "ent")
-    return dealt.mapInArrow(run, "sig long, ent long, n int, weight long")
+    return dealt.mapInArrow(tidy(run), "sig long, ent long, n int, weight long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([pack(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "z"])
 
-    return plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+    return plain(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, z binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = texts.select(F.col("ent").alias("a"), F.col("z").alias("za"))
     two = texts.select(F.col("ent").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "za", "zb").mapInArrow(tidy(run), "a long, b long, linked boolean")
 
 
 def apart(live: DataFrame, shared: DataFrame, comp: DataFrame, scratch: Scratch, near: Column, early: Column) -> DataFrame:
@@ -329,8 +329,12 @@ def apart(live: DataFrame, shared: DataFrame, comp: DataFrame, scratch: Scratch,
 
 def near_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles, component_id, ent (equal for equal sets)."""
+    with small_batches(docs.sparkSession):
+        return _near_components(docs, scratch or Scratch(docs.sparkSession, "simjoin"))
+
+
+def _near_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "simjoin")
     docs, back = distinct_ids(plain(docs, "doc_id", "text"), scratch)
     first = scratch.save(entities(docs), "entities")
     blocks = first.where("block >= 0").select(F.col("doc_id").alias("salt"), "block", "counts")

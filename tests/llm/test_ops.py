@@ -704,3 +704,44 @@ def test_weights_are_one_expression(spark):
     assert analyzed.count("catalyst.expressions.Literal") < 100
     # the weights are split once, when the plan is made; what stays is the split of tokens
     assert (analyzed.count("expressions.StringSplit"), optimized.count("expressions.StringSplit")) == (2, 1)
+
+
+def test_python_workers_get_small_batches(spark, monkeypatch):
+    """Near duplicates are found in batches of bounded bytes, with the same result; the session's own limit comes back."""
+    import pyarrow as pa
+
+    from seqmap.llm import common, simjoin
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key), []
+    docs = spark.createDataFrame([(i, f"w{i % 7} " * 5 + "common words that stand in every text here " * 40) for i in range(200)], "doc_id long, text string").repartition(1)
+    want = sorted((r.doc_id, r.n_shingles, r.component_id) for r in simjoin.near_components(docs).collect())
+    own = simjoin._near_components
+
+    def noted(d, scratch):
+        def sizes(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes for b in batches], pa.int64())], names=["n"])
+
+        seen.append(max(r.n for r in d.select("doc_id", "text").mapInArrow(sizes, "n long").collect()))
+        return own(d, scratch)
+
+    monkeypatch.setattr(simjoin, "_near_components", noted)
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 16)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in simjoin.near_components(docs).collect()) == want
+    assert seen[0] < 1 << 17 and spark.conf.get(key) == before
+    monkeypatch.setattr(simjoin, "_near_components", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        simjoin.near_components(docs)
+    assert spark.conf.get(key) == before
+
+
+def test_batches_are_given_in_parts():
+    import pyarrow as pa
+
+    from seqmap.llm.common import parts
+
+    b = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [None if i % 9 == 0 else "é" * (i % 50) for i in range(1000)]})
+    got = list(parts(b, 4000))
+    assert len(got) > 5 and max(x.nbytes for x in got) < 16000
+    assert pa.Table.from_batches(got).to_pylist() == b.to_pylist()
+    assert not list(parts(b.slice(0, 0))) and len(list(parts(b.slice(5, 1), 1))) == 1
