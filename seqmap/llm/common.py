@@ -6,11 +6,12 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,9 +68,37 @@ class Scratch:
 
 
 def free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that nothing refers to any more."""
+    """Lets Spark delete the shuffle files of tables that nothing refers to any more, and shrinks the driver.
+
+    A collection of the whole heap shrinks it to what is used. What the driver's JVM has freed outside its heap the C
+    library keeps in an arena for each of many threads, until it is told to give it back; JVMs without such a command
+    keep it.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_jvm(spark)
+    release()
+
+
+def trim_jvm(spark: SparkSession) -> None:
+    """Gives what the driver's JVM has freed outside its heap back to the system, by its own command."""
+    sc = spark.sparkContext
+    jvm, array = sc._jvm, sc._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    kinds, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for k, (kind, value) in enumerate(
+        (
+            ("javax.management.ObjectName", jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")),
+            ("java.lang.String", "systemTrimNativeHeap"),
+            ("[Ljava.lang.Object;", array(jvm.java.lang.Object, 0)),
+            ("[Ljava.lang.String;", array(jvm.java.lang.String, 0)),
+        )
+    ):
+        kinds[k], values[k] = named(kind), value
+    # the server's class is not public, so it is called by the interface's method
+    call = named("javax.management.MBeanServer").getMethod("invoke", kinds)
+    with suppress(Py4JJavaError):  # a JVM without the command
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
 
 
 @contextmanager
